@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: The split pattern of byte-level BPE, with the white space of Unicode.
 SPLIT = (
@@ -213,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     """Every document's ids and their decoded text: `doc_id`, kept columns, `ids`, `decoded`."""
     vocab = vocabulary(docs.sparkSession, path)
     chosen = docs.select(doc_id, *keep, text)
-    schema = chosen.drop(text).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = chosen.drop(text).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocab)
