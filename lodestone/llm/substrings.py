@@ -176,47 +176,66 @@ def hot_ranges(packed: DataFrame, window: int) -> DataFrame:
                     seen[key] = min(low, doc), max(high, doc)
             yield arrow_rows([(*k, *v) for k, v in seen.items()], types)
 
+    def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeated windows of a bucket as packed strings of bounded size; rows come sorted by bucket."""
+        types = {"mini": pa.int64(), "known": pa.binary()}
+        mini, parts = None, []
+        for batch in (piece for whole in batches for piece in pieces_of(whole, 4096)):
+            out = []
+            for m, w, low in zip(*(c.to_pylist() for c in batch.columns)):
+                if parts and (m != mini or len(parts) == LIST):
+                    out.append((mini, b"".join(parts)))
+                    parts = []
+                mini = m
+                parts.append(w + low.to_bytes(8, "little", signed=True))
+            yield arrow_rows(out, types)
+        yield arrow_rows([(mini, b"".join(parts))] if parts else [], types)
+
     repeated = (
         packed.select("mini", ID, "packed")
         .mapInArrow(digests_of, "mini long, w binary, low long, high long")
         .groupBy("mini", "w")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low < high")
-        # lists of bounded size: a bucket of many repeated windows has several
-        .withColumn("part", F.shiftright(F.xxhash64("w"), 48))
-        .groupBy("mini", "part")
-        .agg(F.collect_list(F.struct("w", "low")).alias("known"))
-    )
-    # several small parts of a bucket become one list of at most about LIST digests
-    lists = cut(
-        repeated.groupBy("mini", F.expr(f"floor(part / {max(1, 65536 // LIST)})").alias("part"))
-        .agg(F.flatten(F.collect_list("known")).alias("known"))
-        .select("mini", "known")
+        .select("mini", "w", "low")
     )
+    lists = cut(repeated.repartition("mini").sortWithinPartitions("mini").mapInArrow(lists_of, "mini long, known binary"))
 
-    def rows_of(doc: int, th: int, start: int, text: str, known: list[dict]) -> Iterator[tuple]:
-        first = {x["w"]: x["low"] for x in known}
-        words = text.split(" ")
-        starts = [start + i for i in range(len(words) - window + 1) if first.get(digest(words[i : i + window]), doc) < doc]
-        return ranges(doc, th, starts, window)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked: dict[bytes, dict[bytes, int]] = {}
+        for batch in (piece for whole in batches for piece in pieces_of(whole, 64)):
+            out: list[tuple] = []
+            for doc, th, start, text, known in zip(*(c.to_pylist() for c in batch.columns)):
+                if known not in unpacked:
+                    if len(unpacked) > 64:
+                        unpacked.clear()
+                    unpacked[known] = {known[i : i + 16]: int.from_bytes(known[i + 16 : i + 24], "little", signed=True) for i in range(0, len(known), 24)}
+                first, words = unpacked[known], text.split(" ")
+                starts = [start + i for i in range(len(words) - window + 1) if first.get(digest(words[i : i + window]), doc) < doc]
+                out.extend(ranges(doc, th, starts, window))
+            yield arrow_rows(out, RANGE)
 
-    return arrow_map(packed.join(lists, "mini").select(ID, TH, "start", "packed", "known"), rows_of, RANGE_SCHEMA, RANGE)
+    return packed.join(lists, "mini").select(ID, TH, "start", "packed", "known").mapInArrow(run, RANGE_SCHEMA)
 
 
 def repeated_ranges(base: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, hot: int = HOT) -> DataFrame:
     """Ranges of removed words; base has the identity columns and `text`, each text once."""
 
-    def minimisers(doc: int, th: int, text: str) -> Iterator[tuple]:
-        return ((int(m), doc, th) for m in np.unique(super_k_mers(WORD.findall(text), window, seed)[0]))
+    def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces_of(whole)):
+            found = [np.unique(super_k_mers(WORD.findall(t), window, seed)[0]) for t in batch.column(2).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            columns = [pa.array(np.concatenate([*found, np.empty(0, np.int64)])), batch.column(0).take(rows), batch.column(1).take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=["mini", ID, TH])
 
-    seen = arrow_map(base, minimisers, f"mini long, {ID} long, {TH} long", {"mini": pa.int64(), ID: pa.int64(), TH: pa.int64()})
+    seen = cut(base.select(ID, TH, "text").mapInArrow(minimisers, f"mini long, {ID} long, {TH} long"))
     shared = cut(
         seen.groupBy("mini")
         .agg(F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("docs"))
         .where("low < high")
         .select("mini", (F.col("docs") > hot).alias("hot"))
     )
-    wanted = (
+    wanted = cut(
         seen.join(shared, "mini")
         .groupBy(ID, TH)
         .agg(F.collect_list(F.when(~F.col("hot"), F.col("mini"))).alias("cold_minis"), F.collect_list(F.when(F.col("hot"), F.col("mini"))).alias("hot_minis"))
