@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestone.llm import bpe, decontaminate, licenses, lines, minhash, substrings, tokencounts, toxicity, urls
+from lodestone.llm import bpe, decontaminate, licenses, lines, minhash, mtree, substrings, tokencounts, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_licenses": licenses.op9_licenses,
+    "op10_mtree": mtree.op10_mtree,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": substrings.SQL,
     "op6_url_filters": urls.SQL,
     "op9_licenses": licenses.SQL,
+    "op10_mtree": mtree.SQL,
 }
