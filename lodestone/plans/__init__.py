@@ -1,0 +1 @@
+"""Queries of the library by name, with the SQL of the same rows."""
