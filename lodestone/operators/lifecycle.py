@@ -56,7 +56,7 @@ def importance() -> Column:
 def scored(nodes: DataFrame, touched: DataFrame, now: Column, config: Config = Config()) -> DataFrame:
     """nodes (`id`, `confidence`, `tx_time`) with `recency`, `importance`, `strength` and `state`; untouched ones have 0."""
     joined = nodes.join(touched.withColumnRenamed("node_id", "id"), "id", "left")
-    recency = F.coalesce(F.exp(-config.decay * seconds_since(F.col("last_accessed"), now)), F.lit(0.0))
+    recency = F.when(F.col("last_accessed").isNull(), 0.0).otherwise(F.exp(-config.decay * seconds_since(F.col("last_accessed"), now)))
     known = joined.withColumn("recency", recency).withColumn("importance", F.coalesce(importance(), F.lit(0.0)))
     strength = clamp(config.recency * F.col("recency") + config.importance * F.col("importance") + config.confidence * F.col("confidence"))
     young = F.unix_micros(now) - F.unix_micros("tx_time") < config.active_hours * 3_600_000_000

@@ -194,7 +194,7 @@ LIFE = f"""{NODES}, log AS (
   FROM log WHERE kind IS NOT NULL GROUP BY id
 ), life AS (
   SELECT n.id, n.tx_time, n.confidence, coalesce(t.a, 0) AS a,
-    coalesce(exp(-0.0001 * greatest(floor((epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_accessed)) / 1000000), 0)), 0) AS recency,
+    CASE WHEN last_accessed IS NULL THEN 0 ELSE exp(-0.0001 * greatest(floor((epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_accessed)) / 1000000), 0)) END AS recency,
     coalesce(least(1.0, greatest(0.0, 0.4 * ln(1 + t.a) / 5 + 0.3 * sqrt(t.c) / 10 + 0.2 * ln(1 + t.e) / 3 + 0.1 * t.b)), 0) AS importance
   FROM nodes n LEFT JOIN touched t USING (id)
 ), scored AS (
