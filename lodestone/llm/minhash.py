@@ -13,13 +13,16 @@ coordinates, and the earliest on each is kept. Two documents agree on a coordina
 probability equal to their weighted Jaccard similarity.
 
 1. Equal word sequences are one text, whatever their number; only texts go on.
-2. 24 bands of 4 coordinates. Only buckets of two or more texts are kept. Each text is first
-   linked to the pivot (least text) it shares most buckets with, and the pair is verified on
-   its exact weighted sets; then the other pivot pairs that still join different components.
+2. 24 bands of 4 coordinates. Only buckets of two or more texts are kept; two pivots of each,
+   chosen by hash, differ from bucket to bucket, so texts of one class meet many of them.
+   Sketches (96 bits) of text and pivot are compared. Each text is linked to its nearest
+   pivot, the pair verified on the exact weighted sets, and components are formed; then the
+   nearest pair for each text and other component; then what pivot pairs are left between
+   different components.
 3. What buckets of three or more texts still hold in different components is joined across
-   components alone, with the texts' 96-bit sketches compared inside the join, and verified
-   too. Inside a component no pairs are made, so a group of copies of any size costs about
-   one pair for each of its texts, and no candidate is capped or dropped.
+   components alone, each pair in its first common bucket, with the sketches compared inside
+   the join, and verified too. Inside a component no pairs are made, so a group of copies of
+   any size costs a few pairs for each of its texts, and no candidate is capped or dropped.
 """
 
 from __future__ import annotations
@@ -42,8 +45,8 @@ from lodestone.llm.substrings import HASHES, arrow_rows, mixed, run_hashes
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
 WORD = re.compile(r"\w+")
 #: Sketches of texts that differ in more bits are under the threshold: at a similarity of 0.8
-#: the mean is 9.6 of 96 with a deviation of 2.9.
-SKETCH_BITS = 28
+#: the mean is 9.6 of 96 with a deviation of 2.9, so one pair in a million is lost here at most.
+SKETCH_BITS = 24
 
 
 def columns_of(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -164,47 +167,75 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     class_of is null for documents without words. Rows that repeat id and text share a class.
     """
     base = keyed(docs).select(ID, TH, "text")
-    signed = cut(signatures(base, bands, rows).groupBy("text_id", ID, TH).agg(F.first(F.struct("keys", "s1", "s2")).alias("sig")))
-    texts = signed.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct(ID, TH, "sig")).alias("one")).select("text_id", "one.*")
-    buckets = texts.select("text_id", F.explode("sig.keys").alias("key"), "sig.s1", "sig.s2")
-    pivots = cut(buckets.groupBy("key").agg(F.min("text_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(buckets.join(pivots, "key").select("key", "text_id", "s1", "s2", "pivot", "n"))
-    star = cut(members.where("text_id <> pivot").groupBy(F.col("text_id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared")))
-
-    wanted = members.select("text_id").distinct()
-    sources = cut(texts.join(wanted, "text_id", "left_semi").select("text_id", ID, TH))
-    joined = base.dropDuplicates([ID, TH]).alias("d").join(sources.alias("s"), F.col(f"d.{ID}").eqNullSafe(F.col(f"s.{ID}")) & (F.col(f"d.{TH}") == F.col(f"s.{TH}")))
-    sets = cut(column_sets(joined.select("s.text_id", "d.text")))
-
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = cut(verified(best, sets, similar))
-    labels = components(links)
+    signed = cut(signatures(base, bands, rows))
+    texts = signed.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct(ID, TH, "s1", "s2", "keys")).alias("one")).select("text_id", "one.*")
+    buckets = texts.select("text_id", F.explode("keys").alias("key"))
+    order = F.xxhash64("key", "text_id")
+    ends = cut(buckets.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).where("n > 1"))
+    members = cut(buckets.join(ends, "key").select("key", "text_id", "n", ((order == F.col("low")) | (order == F.col("high"))).alias("pivot")))
+    known = cut(texts.join(members.select("text_id").distinct(), "text_id", "left_semi"))
+
+    d, k = base.alias("d"), known.select(ID, TH, "text_id").alias("k")
+    sources = d.join(k, F.col(f"d.{ID}").eqNullSafe(F.col(f"k.{ID}")) & (F.col(f"d.{TH}") == F.col(f"k.{TH}")))
+    # Rows that repeat id and text repeat their set, which is then taken once.
+    sets = cut(column_sets(sources.select("k.text_id", "d.text")).groupBy("text_id").agg(F.first("columns").alias("columns")))
+
+    def sketches(name: str) -> DataFrame:
+        return known.select(F.col("text_id").alias(name), F.struct("s1", "s2").alias(f"{name}_sketch"))
+
+    pivots = members.where("pivot").select("key", F.col("text_id").alias("b"))
+    pairs = members.select("key", F.col("text_id").alias("a")).join(pivots, "key").where("a <> b").select("a", "b").distinct()
+    differ = F.expr("bit_count(a_sketch.s1 ^ b_sketch.s1) + bit_count(a_sketch.s2 ^ b_sketch.s2)")
+    most = SKETCH_BITS * bands * rows // 96
+    star = cut(pairs.join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", differ.alias("differ")).where(F.col("differ") <= most))
+
+    links, labels = None, None
 
     def label_of(df: DataFrame, column: str, name: str) -> DataFrame:
         named = labels.select(F.col("node").alias(column), F.col("label").alias(name))
         return df.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        return label_of(label_of(pairs, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
+    def apart(found: DataFrame) -> DataFrame:
+        return label_of(label_of(found, "a", "la"), "b", "lb").where("la <> lb")
 
-    more = cut(verified(apart(star.join(best, ["a", "b"], "left_anti")), sets, similar))
-    if not more.isEmpty():
-        links = cut(links.union(more))
+    def nearest(found: DataFrame, *by: str) -> DataFrame:
+        return found.groupBy(*by).agg(F.min_by("b", F.struct("differ", "b")).alias("b")).select("a", "b")
+
+    def linked(found: DataFrame) -> bool:
+        """Verify pairs and form components anew; says whether there were any."""
+        nonlocal links, labels
+        new = cut(verified(found, sets, similar))
+        if links is not None and new.isEmpty():
+            return False
+        links = new if links is None else links.union(new)
         labels = components(links)
+        return True
+
+    def in_turn(found: DataFrame) -> None:
+        """First the nearest pair of each text and component, then the others still apart."""
+        first = cut(nearest(apart(found), "a", "lb"))
+        linked(first)
+        linked(apart(found).select("a", "b").join(first, ["a", "b"], "left_anti"))
+
+    linked(nearest(star, "a"))
+    in_turn(star)
 
     # Pairs without a pivot exist in buckets of three or more that hold several components.
-    marked = cut(label_of(members.where("n > 2"), "text_id", "label"))
-    mixed_keys = cut(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-    rest = marked.where("text_id <> pivot").join(mixed_keys, "key").select("key", "text_id", "s1", "s2", "label")
+    marked = label_of(members.where("n > 2"), "text_id", "label")
+    several = cut(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
+    rest = cut(marked.where("not pivot").join(several, "key").join(known.select("text_id", "s1", "s2", "keys"), "text_id"))
     x, y = rest.alias("x"), rest.alias("y")
-    differ = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)")
-    close = (F.col("x.key") == F.col("y.key")) & (F.col("x.text_id") < F.col("y.text_id")) & (F.col("x.label") != F.col("y.label")) & (differ <= SKETCH_BITS * bands * rows // 96)
-    crossing = x.join(y, close).select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")).distinct()
-    late = cut(verified(crossing, sets, similar))
-    if not late.isEmpty():
-        links = links.union(late)
-        labels = components(links)
-
+    between = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)")
+    close = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.text_id") < F.col("y.text_id"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (between <= most)
+        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+    )
+    crossing = cut(x.join(y, close).select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b"), between.alias("differ")))
+    if not crossing.isEmpty():
+        in_turn(crossing)
     return label_of(signed.select(ID, TH, "text_id"), "text_id", "class_of")
 
 
@@ -212,9 +243,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """`doc_id`, `class_id` (least id of the class), `class_size` and `kept`: one row per row of docs.
 
     The kept document of a class is the one with the least id, then text hash. A null id
-    comes first and its class has a null class_id.
+    comes first and its class has a null class_id. Rows that repeat id and text count once.
     """
-    member = cut(near_duplicates(docs, similar))
+    member = cut(near_duplicates(docs, similar).dropDuplicates([ID, TH]))
     by_class = member.where("class_of is not null").groupBy("class_of")
     groups = cut(by_class.agg(F.min(F.struct(ID, TH)).alias("first"), F.count("*").alias("n")).where("n > 1"))
     known = cut(member.join(groups, "class_of").select(ID, TH, "first", "n"))
@@ -225,7 +256,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         "r.doc_id",
         F.when(F.col("n").isNull(), F.col(f"r.{ID}")).otherwise(F.col(f"first.{ID}")).alias("class_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce(F.col(f"first.{ID}").eqNullSafe(F.col(f"r.{ID}")) & (F.col(f"first.{TH}") == F.col(f"r.{TH}")), F.lit(True)).alias("kept"),
+        (F.col("n").isNull() | (F.col(f"first.{ID}").eqNullSafe(F.col(f"r.{ID}")) & (F.col(f"first.{TH}") == F.col(f"r.{TH}")))).alias("kept"),
     )
 
 
