@@ -90,12 +90,12 @@ class Items:
                 self.sizes.append(len(words))
                 self.runs.append(weighted_runs(words))
                 sums = votes(words)
+                sums = sums[: max(2, self.rounded(len(words)))]
                 prints.append(int(packed(sums[-1:], sums[:1])[0]))
         self.prints = np.array(prints, np.uint64)
         by_size: dict[int, list[int]] = {}
         for k, size in enumerate(self.sizes):
-            step = self.step(size)
-            by_size.setdefault(size // step * step, []).append(k)
+            by_size.setdefault(self.rounded(size), []).append(k)
         masks = near_values(radius // 4)
         self.index = {}
         for size, members in by_size.items():
@@ -110,9 +110,15 @@ class Items:
             self.index[size] = np.array(members), blocks
         self.largest = max(by_size, default=0)
 
+    @staticmethod
+    def rounded(size: int) -> int:
+        """Words of an item's windows."""
+        unit = max(2, size // 10)
+        return max(1, size // unit * unit)
+
     @staticmethod
     def step(size: int) -> int:
-        return max(1, size // 24)
+        return max(1, size // 48)
 
     def near(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         """Windows and items of this size within the radius, each pair once."""
@@ -163,7 +169,7 @@ class Items:
     def _verify(self, item: int, place: int, start: int, words: np.ndarray, first: int, best: dict) -> None:
         """Similarity of an item to the windows of its size about a start, inside one text."""
         size, runs = self.sizes[item], self.runs[item]
-        reach = max(1, self.step(size))
+        reach = max(1, self.step(self.rounded(size)))
         for s in range(max(first, start - reach), start + reach + 1):
             window = words[s : s + size]
             if len(window):
