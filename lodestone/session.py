@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +19,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table in the shared folder; its true size is known to later plans."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

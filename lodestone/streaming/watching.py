@@ -8,8 +8,6 @@ path arrive in order (files of one batch are sorted within it).
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.session import shared_folder
+
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("path", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("hash", T.StringType())])
 KEPT = "event_id long, path long"
 
@@ -75,8 +75,7 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
 def drained(stream: DataFrame) -> DataFrame:
     """All that is there now, run through the stream into a Parquet table in the shared folder."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    folder = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
