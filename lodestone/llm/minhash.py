@@ -19,10 +19,9 @@ probability equal to their weighted Jaccard similarity.
    pivot, the pair verified on the exact weighted sets, and components are formed; then the
    nearest pair for each text and other component; then what pivot pairs are left between
    different components.
-3. What buckets of three or more texts still hold in different components is joined across
-   components alone, each pair in its first common bucket, with the sketches compared inside
-   the join, and verified too. Inside a component no pairs are made, so a group of copies of
-   any size costs a few pairs for each of its texts, and no candidate is capped or dropped.
+3. What buckets of three or more texts still hold in different components is compared in
+   blocks of bounded size, inside tasks; only pairs that join components leave them. Inside a
+   component no pairs are made, and no candidate is capped or dropped.
 """
 
 from __future__ import annotations
@@ -47,6 +46,8 @@ WORD = re.compile(r"\w+")
 #: Sketches of texts that differ in more bits are under the threshold: at a similarity of 0.8
 #: the mean is 9.6 of 96 with a deviation of 2.9, so one pair in a million is lost here at most.
 SKETCH_BITS = 24
+#: Texts of a block in the last step.
+BLOCK = 512
 
 
 def columns_of(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -161,6 +162,69 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return sized.where(alike("a_set", "b_set")).select("a", "b")
 
 
+def crossing_links(rest: DataFrame, sketches: DataFrame, sets: DataFrame, similar: float, most: int) -> DataFrame:
+    """Verified pairs (`a`, `b`) between components; rest: `key`, `n`, `text_id`, `label` of the buckets left.
+
+    Texts are dealt to blocks of about BLOCK, those of one large bucket together. Blocks that
+    meet in some bucket meet in a task, which compares their texts across components and sends
+    on only what joins two components it had not joined before: no pair leaves it otherwise.
+    """
+    home = rest.groupBy("text_id", "label").agg(F.max_by("key", F.struct("n", "key")).alias("family"))
+    sizes = home.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("text_id"), F.col("parts"))
+    placed = cut(home.join(sizes, "family").select("text_id", "label", F.xxhash64("family", part).alias("block")))
+    spots = cut(rest.select("key", "text_id").join(placed, "text_id").select("key", "block").distinct())
+    x, y = spots.alias("x"), spots.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
+    sides = F.array_distinct(F.array("i", "j"))
+    asked = cut(met.select(F.xxhash64("i", "j").alias("task"), F.col("i") == F.col("j"), F.explode(sides).alias("block")).toDF("task", "alone", "block"))
+    texts = cut(placed.join(sketches, "text_id").join(sets, "text_id"))
+    dealt = asked.join(texts, "block").select("task", "alone", "block", "text_id", "label", "s1", "s2", "columns")
+
+    def of_task(rows: list[tuple]) -> list[tuple]:
+        root: dict[bytes, bytes] = {}
+
+        def find(label: bytes) -> bytes:
+            while (up := root.get(label, label)) != label:
+                label = up
+            return label
+
+        alone, found = rows[0][1], []
+        block, label = np.array([r[2] for r in rows]), [r[4] for r in rows]
+        number = {name: i for i, name in enumerate(dict.fromkeys(label))}
+        component = np.array([number[name] for name in label])
+        s1, s2 = np.array([r[5] for r in rows]).view(np.uint64), np.array([r[6] for r in rows]).view(np.uint64)
+        columns = [np.frombuffer(r[7], np.uint64) for r in rows]
+        size = np.array([len(c) for c in columns])
+        for k in range(1, len(rows)):
+            differ = np.bitwise_count(s1[:k] ^ s1[k]) + np.bitwise_count(s2[:k] ^ s2[k])
+            near = (differ <= most) & (component[:k] != component[k]) & (np.minimum(size[:k], size[k]) >= similar * np.maximum(size[:k], size[k]))
+            if not alone:
+                near &= block[:k] != block[k]
+            at = np.flatnonzero(near)
+            for j in at[np.argsort(differ[at], kind="stable")].tolist():
+                p, q = find(label[j]), find(label[k])
+                if p != q and similarity(columns[j], columns[k]) >= similar:
+                    root[max(p, q)] = min(p, q)
+                    found.append((rows[j][3], rows[k][3]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        types = {"a": pa.binary(), "b": pa.binary()}
+        for batch in (piece for whole in batches for piece in pieces_of(whole, 1024)):
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    out += of_task(held)
+                    held = []
+                held.append(row)
+            yield arrow_rows(out, types)
+        yield arrow_rows(of_task(held) if held else [], types)
+
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Identity columns of every row with `text_id` and `class_of`: the least text of its class.
 
@@ -223,19 +287,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     # Pairs without a pivot exist in buckets of three or more that hold several components.
     marked = label_of(members.where("n > 2"), "text_id", "label")
     several = cut(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-    rest = cut(marked.where("not pivot").join(several, "key").join(known.select("text_id", "s1", "s2", "keys"), "text_id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    between = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)")
-    close = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.text_id") < F.col("y.text_id"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (between <= most)
-        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
-    )
-    crossing = cut(x.join(y, close).select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b"), between.alias("differ")))
-    if not crossing.isEmpty():
-        in_turn(crossing)
+    rest = cut(marked.join(several, "key").select("key", "n", "text_id", "label"))
+    late = cut(crossing_links(rest, known.select("text_id", "s1", "s2"), sets, similar, most))
+    if not late.isEmpty():
+        links = links.union(late)
+        labels = components(links)
     return label_of(signed.select(ID, TH, "text_id"), "text_id", "class_of")
 
 

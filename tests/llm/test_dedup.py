@@ -136,3 +136,41 @@ def test_near_duplicates_messy(spark, messy):
     assert all(r.class_size == 1 for r in rows if r.doc_id in (3, 4, 7))
     assert minhash.drop_near_duplicates(messy).count() == messy.count() - 1
     assert minhash.classes(messy.limit(0)).count() == 0
+
+
+def test_crossing_links_join_what_brute_force_joins(spark, monkeypatch):
+    """All texts in two buckets, each a component of its own, in many small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng, base, texts = random.Random(9), [f"w{i}" for i in range(120)], []
+    for d in range(70):
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 10**6)}"
+        texts.append((d, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    signed = minhash.signatures(minhash.keyed(docs)).cache()
+    sets = minhash.column_sets(signed.join(docs, signed[minhash.ID] == docs["doc_id"]).select("text_id", "text"))
+    key = F.filter(F.array(F.when(F.col(minhash.ID) < 45, 1), F.when(F.col(minhash.ID) > 25, 2)), lambda k: k.isNotNull())
+    rest = signed.select(F.explode(key.cast("array<long>")).alias("key"), F.lit(45).cast("long").alias("n"), "text_id", F.col("text_id").alias("label"))
+    links = minhash.crossing_links(rest, signed.select("text_id", "s1", "s2"), sets, 0.8, 96)
+    name = {bytes(r.text_id): r[minhash.ID] for r in signed.collect()}
+    columns = {d: minhash.columns_of(t)[1] for d, t in texts}
+    got = [(name[bytes(r.a)], name[bytes(r.b)]) for r in links.collect()]
+    want = [(a, b) for a in columns for b in columns if a < b and (b < 45 or a > 25) and minhash.similarity(columns[a], columns[b]) >= 0.8]
+
+    def groups(pairs):
+        root = {d: d for d in columns}
+        for a, b in pairs:
+            a, b = find(root, a), find(root, b)
+            root[max(a, b)] = min(a, b)
+        return {d: find(root, d) for d in columns}
+
+    def find(root, d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    # Blocks may also find true links outside the buckets; none of a bucket may be lost.
+    assert all(minhash.similarity(columns[a], columns[b]) >= 0.8 for a, b in got)
+    joined = groups(got)
+    assert all(joined[a] == joined[b] for a, b in want)
