@@ -47,7 +47,7 @@ WORD = re.compile(r"\w+")
 #: the mean is 9.6 of 96 with a deviation of 2.9, so one pair in a million is lost here at most.
 SKETCH_BITS = 24
 #: Texts of a block in the last step.
-BLOCK = 512
+BLOCK = 1024
 
 
 def columns_of(text: str | None) -> tuple[bytes, np.ndarray]:
