@@ -145,12 +145,15 @@ class Items:
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
         """(text's place, item, similarity, first word, words): each text's best window for each item.
 
-        The texts' words stand in one row, so that short texts share numpy's calls; windows
-        over two texts are passed over.
+        The texts' words stand in one row, so that short texts share numpy's calls. Filler that
+        matches nothing follows each, so that a text's end gets the same windows wherever it lies.
         """
         each = [WORD.findall((t or "").lower()) for t in texts]
-        words = HASHES.of([w for ws in each for w in ws])
-        bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in each])])
+        sizes = np.array([len(ws) for ws in each], np.int64)
+        filler = mixed(np.arange(1, self.largest + 1, dtype=np.uint64))
+        hashed = np.split(HASHES.of([w for ws in each for w in ws]), np.cumsum(sizes)[:-1])
+        words = np.concatenate([a for text in hashed for a in (text, filler)])
+        firsts = np.cumsum(sizes + len(filler)) - sizes - len(filler)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for begin in range(0, len(words), PART):
             part = words[begin : begin + PART + self.largest]
@@ -161,8 +164,10 @@ class Items:
                     prints = packed(sums[pairs : pairs + n : step], sums[0:n:step])
                     for window, item in self.near(prints, size):
                         start = begin + window * step
-                        place = int(np.searchsorted(bounds, start, side="right")) - 1
-                        self._verify(item, place, start, words[: bounds[place + 1]], int(bounds[place]), best)
+                        place = int(np.searchsorted(firsts, start, side="right")) - 1
+                        first, end = int(firsts[place]), int(firsts[place] + sizes[place])
+                        if start < end:
+                            self._verify(item, place, start, words[:end], first, best)
         for (place, item), (alike, start, size) in sorted(best.items()):
             yield place, self.ids[item], alike, start, size
 

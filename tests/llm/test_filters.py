@@ -72,6 +72,20 @@ def test_decontaminate_messy(spark, messy):
     assert decontaminate.contaminated(messy.limit(0), items).count() == 0
 
 
+def test_shortened_copies_are_found_wherever_they_lie(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(50))) for i in range(30)]
+    index = decontaminate.Items(items, decontaminate.RADIUS, decontaminate.SIMILAR)
+    short = [text.rsplit(" ", 1)[0] for _, text in items]
+    alone = [[m[1:] for m in index.matches([t])] for t in short]
+    assert [m[0][0] for m in alone] == list(range(30))
+    assert [m for m in index.matches(short + ["", None])] == [(k, *m[0]) for k, m in enumerate(alone)]
+    docs = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.contaminated(docs.repartition(n), frame).collect())) for n in (1, 13))
+    assert one == many and len(one) == 30
+
+
 def test_item_blocks(spark, sf_dir, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
