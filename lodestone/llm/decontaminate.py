@@ -11,8 +11,8 @@ within 2 bits of an item's block finds every item within the radius. Each candid
 verified by the exact weighted Jaccard similarity of the five-word runs of item and window
 (0.8 or more), and a document's best window for each item is reported.
 
-Null and empty texts have no windows; items without words match nothing; items of one to four
-words are one run. Rows are handled one by one, so repeated rows give repeated results and
+Null and empty texts have no windows; items without words match nothing; items of two to four
+words are one run, and items of one word are looked up among a text's words. Rows are handled one by one, so repeated rows give repeated results and
 extra columns need no care. Texts of any length go through whole, in overlapping parts.
 """
 
@@ -82,6 +82,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], radius: int, similar: float):
         self.radius, self.similar = radius, similar
         self.ids, self.sizes, self.runs = [], [], []
+        self.single: dict[int, list[int]] = {}
         prints: list[int] = []
         for item, text in rows:
             words = HASHES.of(WORD.findall((text or "").lower()))
@@ -89,13 +90,17 @@ class Items:
                 self.ids.append(item)
                 self.sizes.append(len(words))
                 self.runs.append(weighted_runs(words))
+                if len(words) == 1:
+                    self.single.setdefault(int(words[0]), []).append(len(self.ids) - 1)
                 sums = votes(words)
                 sums = sums[: max(2, self.rounded(len(words)))]
                 prints.append(int(packed(sums[-1:], sums[:1])[0]))
         self.prints = np.array(prints, np.uint64)
         by_size: dict[int, list[int]] = {}
         for k, size in enumerate(self.sizes):
-            by_size.setdefault(self.rounded(size), []).append(k)
+            if size > 1:
+                by_size.setdefault(self.rounded(size), []).append(k)
+        self.single_words = np.array(sorted(self.single), np.uint64)
         masks = near_values(radius // 4)
         self.index = {}
         for size, members in by_size.items():
@@ -155,6 +160,12 @@ class Items:
         words = np.concatenate([a for text in hashed for a in (text, filler)])
         firsts = np.cumsum(sizes + len(filler)) - sizes - len(filler)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        if self.single:
+            for place, text in enumerate(hashed):
+                known, at = np.unique(text, return_index=True)
+                for word in np.flatnonzero(np.isin(known, self.single_words, assume_unique=True)):
+                    for item in self.single[int(known[word])]:
+                        best[place, item] = 1.0, int(at[word]), 1
         for begin in range(0, len(words), PART):
             part = words[begin : begin + PART + self.largest]
             sums = votes(part)

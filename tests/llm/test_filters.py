@@ -86,6 +86,18 @@ def test_shortened_copies_are_found_wherever_they_lie(spark):
     assert one == many and len(one) == 30
 
 
+def test_items_of_one_to_three_words(spark):
+    items = [(1, "Lorem"), (2, "lorem ipsum"), (3, "dolor sit amet"), (4, "amet"), (5, "lorem"), (6, "sit ipsum")]
+    texts = ["x lorem y lorem", "Lorem ipsum", "a b c dolor sit amet", "lorem", "ipsum lorem", "dolor sit", None, "amets " * 5000]
+    index = decontaminate.Items(items, decontaminate.RADIUS, decontaminate.SIMILAR)
+    want = [(0, 1, 1), (0, 5, 1), (1, 1, 0), (1, 2, 0), (1, 5, 0), (2, 3, 3), (2, 4, 5), (3, 1, 0), (3, 5, 0), (4, 1, 1), (4, 5, 1)]
+    assert [(m[0], m[1], m[3]) for m in index.matches(texts)] == want
+    assert [m for k, t in enumerate(texts) for m in [(k, *x[1:]) for x in index.matches([t])]] == list(index.matches(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame(items[:1], "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 5, 6, 7]
+
+
 def test_item_blocks(spark, sf_dir, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
