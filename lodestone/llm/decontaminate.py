@@ -1,15 +1,19 @@
 """Benchmark decontamination (operator 8) by SimHash windows and multi-index Hamming search.
 
-Texts are lower-cased runs of `\\w+`. For each item size every window of that many words of a
-document gets a 64-bit SimHash of its word pairs: running sums of the pairs' +1/-1 votes give
-each window by one subtraction. Sizes of 48 words and more are rounded to, and their windows
-start at, multiples of size // 24.
-
-Items' fingerprints are indexed by four blocks of 16 bits. Fingerprints within 11 bits of each
-other differ by at most 2 in one block, so looking each block of a window up among the values
-within 2 bits of an item's block finds every item within the radius. Each candidate is then
+Texts are lower-cased runs of `\\w+`. A window that is similar to an item shares most of its
+five-word runs, so at least one of any few of them: a text that holds none of an item's rarest
+runs (a fifth of them and one more) has no such window. Only the other texts get fingerprints.
+
+For each item size every window of that many words of such a text gets a 64-bit SimHash of its
+word pairs: running sums of the pairs' +1/-1 votes give each window by one subtraction.
+
+Items' fingerprints are indexed by four blocks of 16 bits. Fingerprints within 15 bits of each
+other differ by at most 3 in one block, so looking each block of a window up among the values
+within 3 bits of an item's block finds every item within the radius. Each candidate is then
 verified by the exact weighted Jaccard similarity of the five-word runs of item and window
-(0.8 or more), and a document's best window for each item is reported.
+(0.8 or more), and a document's best window for each item is reported. Similar windows may lie
+outside the radius (copies cut short at a text's end most of all), so where a text holds one of
+an item's rarest runs and no window was found, every window that shares enough runs is verified.
 
 Null and empty texts have no windows; items without words match nothing; items of two to four
 words are one run, and items of one word are looked up among a text's words. Rows are handled one by one, so repeated rows give repeated results and
@@ -19,8 +23,9 @@ extra columns need no care. Texts of any length go through whole, in overlapping
 from __future__ import annotations
 
 import itertools
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from lodestone.llm.bpe import pieces_of
 from lodestone.llm.common import table
 from lodestone.llm.substrings import HASHES, arrow_rows, mixed, run_hashes
 
-SIMILAR, WORDS, RADIUS = 0.8, 5, 11
+SIMILAR, WORDS, RADIUS = 0.8, 5, 15
 #: Items of one broadcast; a larger benchmark goes over the documents once for each block.
 ITEMS = 20_000
 #: Items of one size up to which a window found by a block is compared with each.
@@ -84,6 +89,7 @@ class Items:
         self.ids, self.sizes, self.runs = [], [], []
         self.single: dict[int, list[int]] = {}
         prints: list[int] = []
+        several: list[np.ndarray] = []
         for item, text in rows:
             words = HASHES.of(WORD.findall((text or "").lower()))
             if len(words):
@@ -92,14 +98,15 @@ class Items:
                 self.runs.append(weighted_runs(words))
                 if len(words) == 1:
                     self.single.setdefault(int(words[0]), []).append(len(self.ids) - 1)
+                else:
+                    several.append(words)
                 sums = votes(words)
-                sums = sums[: max(2, self.rounded(len(words)))]
                 prints.append(int(packed(sums[-1:], sums[:1])[0]))
         self.prints = np.array(prints, np.uint64)
         by_size: dict[int, list[int]] = {}
         for k, size in enumerate(self.sizes):
             if size > 1:
-                by_size.setdefault(self.rounded(size), []).append(k)
+                by_size.setdefault(size, []).append(k)
         self.single_words = np.array(sorted(self.single), np.uint64)
         masks = near_values(radius // 4)
         self.index = {}
@@ -108,22 +115,61 @@ class Items:
             for b in range(4):
                 values = (self.prints[members] >> np.uint64(16 * b)).astype(np.uint32) & 0xFFFF
                 near = (values[:, None] ^ masks[None, :]).ravel()
-                owner = np.repeat(np.array(members), len(masks))
+                owner = np.repeat(np.array(members, np.int32), len(masks))
                 order = np.argsort(near, kind="stable")
-                counts = np.bincount(near, minlength=65536)
-                blocks.append((counts > 0, counts, np.cumsum(counts) - counts, owner[order]))
+                counts = np.bincount(near, minlength=65536).astype(np.int32)
+                blocks.append((counts > 0, counts, np.cumsum(counts, dtype=np.int32) - counts, owner[order]))
             self.index[size] = np.array(members), blocks
         self.largest = max(by_size, default=0)
+        self._telling([k for k, size in enumerate(self.sizes) if size > 1], several)
 
-    @staticmethod
-    def rounded(size: int) -> int:
-        """Words of an item's windows."""
-        unit = max(2, size // 10)
-        return max(1, size // unit * unit)
+    def _telling(self, members: list[int], words: list[np.ndarray]) -> None:
+        """By length: runs of which a text with a match holds one, their items, and whether a run has certain first 20 bits.
 
-    @staticmethod
-    def step(size: int) -> int:
-        return max(1, size // 48)
+        Of an item's n runs a similar window shares n * similar or more, so it shares one of any
+        n + 1 less that number; the ones taken are those of the fewest items.
+        """
+        plain = [run_hashes(w, min(WORDS, len(w))) for w in words]
+        self.plain = {item: np.unique(r) for item, r in zip(members, plain)}
+        known, owners = np.unique(np.concatenate([*self.plain.values(), np.empty(0, np.uint64)]), return_counts=True)
+        by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for item, w, r in zip(members, words, plain):
+            few = len(r) + 1 - math.ceil(len(r) * self.similar - 1e-9)
+            rarest = np.unique(r[np.lexsort((r, owners[np.searchsorted(known, r)]))[:few]])
+            by_length.setdefault(min(WORDS, len(w)), []).append((rarest, np.full(len(rarest), item, np.int32)))
+        self.told = {}
+        for length, parts in by_length.items():
+            told, owner = (np.concatenate(x) for x in zip(*parts))
+            order, begins = np.argsort(told, kind="stable"), np.zeros(1 << 20, bool)
+            begins[told >> np.uint64(44)] = True
+            self.told[length] = told[order], owner[order], begins
+
+    def suspects(self, hashed: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(text's place, item) where the text holds a telling run; one over two texts is no harm."""
+        row, ends = np.concatenate(hashed), np.cumsum([len(text) for text in hashed])
+        found: set[tuple[int, int]] = set()
+        for length, (told, owner, begins) in self.told.items():
+            if len(row) >= length:
+                runs = run_hashes(row, length)
+                some = np.flatnonzero(begins[runs >> np.uint64(44)])
+                first = np.searchsorted(told, runs[some])
+                n = np.searchsorted(told, runs[some], side="right") - first
+                at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+                places = np.searchsorted(ends, np.repeat(some, n), side="right")
+                found.update(zip(places.tolist(), owner[at].tolist()))
+        return sorted(found)
+
+    def _likely(self, item: int, text: np.ndarray) -> list[int]:
+        """Starts of the windows of a text that share enough runs with an item to be similar to it."""
+        size, length = self.sizes[item], min(WORDS, self.sizes[item])
+        if len(text) < length:
+            return []
+        runs = run_hashes(text, length)
+        shared = np.concatenate([[0], np.cumsum(np.isin(runs, self.plain[item]))])
+        begins = np.arange(len(runs))
+        ends = np.minimum(begins + size - length + 1, len(runs))
+        both = shared[ends] - shared[begins]
+        return np.flatnonzero(both >= self.similar * (ends - begins + len(self.runs[item]) - both) - 1e-9).tolist()
 
     def near(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         """Windows and items of this size within the radius, each pair once."""
@@ -154,11 +200,7 @@ class Items:
         matches nothing follows each, so that a text's end gets the same windows wherever it lies.
         """
         each = [WORD.findall((t or "").lower()) for t in texts]
-        sizes = np.array([len(ws) for ws in each], np.int64)
-        filler = mixed(np.arange(1, self.largest + 1, dtype=np.uint64))
-        hashed = np.split(HASHES.of([w for ws in each for w in ws]), np.cumsum(sizes)[:-1])
-        words = np.concatenate([a for text in hashed for a in (text, filler)])
-        firsts = np.cumsum(sizes + len(filler)) - sizes - len(filler)
+        hashed = np.split(HASHES.of([w for ws in each for w in ws]), np.cumsum([len(ws) for ws in each])[:-1])
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         if self.single:
             for place, text in enumerate(hashed):
@@ -166,34 +208,41 @@ class Items:
                 for word in np.flatnonzero(np.isin(known, self.single_words, assume_unique=True)):
                     for item in self.single[int(known[word])]:
                         best[place, item] = 1.0, int(at[word]), 1
+        filler = mixed(np.arange(1, self.largest + 1, dtype=np.uint64))
+        suspects = self.suspects(hashed)
+        places = sorted({place for place, _ in suspects})
+        sizes = np.array([len(hashed[place]) for place in places], np.int64)
+        firsts = np.cumsum(sizes + len(filler)) - sizes - len(filler)
+        words = np.concatenate([a for place in places for a in (hashed[place], filler)] or [filler[:0]])
         for begin in range(0, len(words), PART):
             part = words[begin : begin + PART + self.largest]
             sums = votes(part)
             for size in self.index:
-                step, pairs, n = self.step(size), max(1, size - 1), min(len(part) - size + 1, PART)
+                pairs, n = size - 1, min(len(part) - size + 1, PART)
                 if n > 0:
-                    prints = packed(sums[pairs : pairs + n : step], sums[0:n:step])
-                    for window, item in self.near(prints, size):
-                        start = begin + window * step
-                        place = int(np.searchsorted(firsts, start, side="right")) - 1
-                        first, end = int(firsts[place]), int(firsts[place] + sizes[place])
-                        if start < end:
-                            self._verify(item, place, start, words[:end], first, best)
+                    for window, item in self.near(packed(sums[pairs : pairs + n], sums[:n]), size):
+                        start = begin + window
+                        k = int(np.searchsorted(firsts, start, side="right")) - 1
+                        at = start - int(firsts[k])
+                        if at < sizes[k]:
+                            self._verify(item, places[k], range(max(0, at - 1), at + 2), hashed[places[k]], best)
+        for place, item in suspects:
+            if (place, item) not in best:
+                self._verify(item, place, self._likely(item, hashed[place]), hashed[place], best)
         for (place, item), (alike, start, size) in sorted(best.items()):
             yield place, self.ids[item], alike, start, size
 
-    def _verify(self, item: int, place: int, start: int, words: np.ndarray, first: int, best: dict) -> None:
-        """Similarity of an item to the windows of its size about a start, inside one text."""
+    def _verify(self, item: int, place: int, starts: Iterable[int], text: np.ndarray, best: dict) -> None:
+        """Similarity of an item to the windows of its size of a text."""
         size, runs = self.sizes[item], self.runs[item]
-        reach = max(1, self.step(self.rounded(size)))
-        for s in range(max(first, start - reach), start + reach + 1):
-            window = words[s : s + size]
+        for s in starts:
+            window = text[s : s + size]
             if len(window):
                 found = weighted_runs(window)
                 both = len(np.intersect1d(found, runs, assume_unique=True))
                 alike = both / (len(found) + len(runs) - both)
                 if alike >= self.similar and alike > best.get((place, item), (0.0,))[0]:
-                    best[place, item] = alike, s - first, len(window)
+                    best[place, item] = alike, s, len(window)
 
 
 _built: dict[int, Items] = {}

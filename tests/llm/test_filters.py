@@ -86,6 +86,26 @@ def test_shortened_copies_are_found_wherever_they_lie(spark):
     assert one == many and len(one) == 30
 
 
+@pytest.mark.parametrize("size", [20, 45, 59, 98])
+def test_edited_copies_are_found(size):
+    rng, items, copies = random.Random(size), [], []
+    while len(items) < 300:
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(size)]
+        copy, n, edits = list(words), rng.randint(1, size // 10), rng.choice([1, 1, 2])
+        for at in rng.sample([0, rng.randint(0, size - n), size - n], edits):
+            copy[at : at + n] = [f"e{rng.randint(0, 10**9)}" for _ in range(n)]
+        a, b = (decontaminate.weighted_runs(decontaminate.HASHES.of(x)) for x in (words, copy))
+        both = len(np.intersect1d(a, b))
+        if both / (len(a) + len(b) - both) >= 0.8:
+            items.append((len(items), " ".join(words)))
+            copies.append(f"before it {' '.join(copy)} and after")
+    index = decontaminate.Items(items, decontaminate.RADIUS, decontaminate.SIMILAR)
+    assert [m[:2] for m in index.matches(copies)] == [(i, i) for i in range(300)]
+    least = -(-4 * (size - 4) // 5) + 4  # words of the shortest similar copy
+    for cut in (slice(0, least), slice(size - least, size)):
+        assert [m[:2] for m in index.matches([" ".join(t.split()[cut]) for _, t in items])] == [(i, i) for i in range(300)]
+
+
 def test_items_of_one_to_three_words(spark):
     items = [(1, "Lorem"), (2, "lorem ipsum"), (3, "dolor sit amet"), (4, "amet"), (5, "lorem"), (6, "sit ipsum")]
     texts = ["x lorem y lorem", "Lorem ipsum", "a b c dolor sit amet", "lorem", "ipsum lorem", "dolor sit", None, "amets " * 5000]
