@@ -13,12 +13,13 @@ token in one byte string), whole documents at a time.
 
 Null texts count as empty: no ids, empty decoded text. Special tokens' strings in a text
 become their ids, as the tokenizers library does. Rows are handled one by one, so repeated
-rows, null ids and extra columns need no care; texts of any length go through whole.
+rows, null ids and extra columns need no care; texts of any length go through whole. An empty
+table gives an empty one. What a worker remembers is bounded in number and length. A tokenizer
+file that asks for a normaliser, another split or other token flags is refused.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -32,6 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lodestone.llm.arrays import held, pieces_of
+
 #: The split pattern of byte-level BPE, with the white space of Unicode.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -40,8 +43,8 @@ SPLIT = (
 #: The same split where a text has only letters and digits that both engines class alike.
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02ff]")
-#: Pre-tokens whose ids a worker remembers before it starts anew (about 100 MB).
-REMEMBERED = 500_000
+#: Pre-tokens of at most LONGEST characters, and pairs, that a worker remembers before it starts anew (about 20 MB each).
+REMEMBERED, LONGEST, PAIRS = 100_000, 48, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -80,18 +83,29 @@ class Pairs(dict):
                 before, left = left, self.halves[left][1]
             else:
                 break
-        if len(self) > 1_000_000:
+        if len(self) >= PAIRS:
             self.clear()
         self[pair] = fits
         return fits
 
 
+def check(model: dict) -> None:
+    """Raise where a tokenizer file asks for what is not built in here."""
+    before, tokens, kind = model.get("pre_tokenizer") or {}, model.get("added_tokens", []), model["model"]
+    plain = not any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    asked = [kind.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    if model.get("normalizer") or not plain or not split or any(asked) or kind.get("type", "BPE") != "BPE":
+        raise ValueError("only byte-level BPE without normaliser, prefix space or token flags is built in")
+
+
 class Bpe(dict):
     """Encoder and decoder; as a dict, the ids (little-endian uint32 bytes) of pre-tokens."""
 
     def __init__(self, spec: str):
         super().__init__()
         model = json.loads(spec)
+        check(model)
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         letter = byte_letters()
         self.letters = dict(enumerate(letter))
@@ -135,7 +149,11 @@ class Bpe(dict):
         fits = list(map(self.compatible.__getitem__, zip(tokens, tokens[1:])))
         if False in fits:
             tokens = self.search(word, tokens[: fits.index(False) + 1])
-        self[pretoken] = ids = b"".join(map(self.id_bytes.__getitem__, tokens))
+        ids = b"".join(map(self.id_bytes.__getitem__, tokens))
+        if len(pretoken) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[pretoken] = ids
         return ids
 
     def search(self, word: str, tokens: list[int]) -> list[int]:
@@ -168,8 +186,6 @@ class Bpe(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if len(self) > REMEMBERED:
-            self.clear()
         if self.special is None or not self.special.search(text):
             return b"".join(map(self.__getitem__, self.pretokens(text)))
         parts = self.special.split(text)
@@ -184,11 +200,6 @@ class Bpe(dict):
         return self.bytes[gather].tobytes().decode("utf-8", errors="replace")
 
 
-@functools.lru_cache(maxsize=2)
-def _built(digest: str, spec: Broadcast) -> Bpe:
-    return Bpe(spec.value)
-
-
 def vocabulary(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
     """A tokenizer file's digest and text, to be sent once to each executor.
 
@@ -200,14 +211,8 @@ def vocabulary(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
 
 
 def coder(vocab: tuple[str, Broadcast]) -> Bpe:
-    """The coder of a vocabulary; each Python worker builds it once."""
-    return _built(*vocab)
-
-
-def pieces_of(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of a few hundred rows, so that what Python holds of it stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    """The coder of a vocabulary; a Python worker keeps it from task to task."""
+    return held("coder", vocab[0], lambda: Bpe(vocab[1].value))
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

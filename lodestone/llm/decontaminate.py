@@ -15,16 +15,25 @@ verified by the exact weighted Jaccard similarity of the five-word runs of item
 outside the radius (copies cut short at a text's end most of all), so where a text holds one of
 an item's rarest runs and no window was found, every window that shares enough runs is verified.
 
+Of several best windows the first one is reported. What is found depends on the text alone, not
+on its neighbours or partitions. Every pair within the radius is found, and by the telling runs
+every window that is similar at all, so recall at 0.8 is 1 (tests compare with brute force).
+
 Null and empty texts have no windows; items without words match nothing; items of two to four
-words are one run, and items of one word are looked up among a text's words. Rows are handled one by one, so repeated rows give repeated results and
-extra columns need no care. Texts of any length go through whole, in overlapping parts.
+words are one run, and items of one word are looked up among a text's words. Rows are handled one
+by one, so repeated rows give repeated results; `contaminated` takes two columns of each table, so
+others cannot clash, and `drop_contaminated` keeps all columns as they are. Texts of any length go
+through whole, in overlapping parts. Empty tables give an empty result.
+
+The benchmark is broadcast in blocks of bounded rows and bytes, through the driver one at a time;
+a larger one costs a further pass over the documents for each block.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,18 +42,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import pieces_of
+from lodestone.llm.arrays import arrow_rows, held, mixed, pieces_of, run_hashes, word_hashes
 from lodestone.llm.common import table
-from lodestone.llm.substrings import HASHES, arrow_rows, mixed, run_hashes
 
 SIMILAR, WORDS, RADIUS = 0.8, 5, 15
-#: Items of one broadcast; a larger benchmark goes over the documents once for each block.
-ITEMS = 20_000
+#: Items and bytes of one broadcast; a larger benchmark goes over the documents once for each block.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 #: Items of one size up to which a window found by a block is compared with each.
 FEW = 16
-#: Window starts that are worked on at a time.
+#: Window starts that are worked on at a time, or as many as the largest item has words.
 PART = 4096
-WORD = re.compile(r"\w+")
 
 
 def votes(words: np.ndarray) -> np.ndarray:
@@ -91,7 +98,7 @@ class Items:
         prints: list[int] = []
         several: list[np.ndarray] = []
         for item, text in rows:
-            words = HASHES.of(WORD.findall((text or "").lower()))
+            words = word_hashes(text)
             if len(words):
                 self.ids.append(item)
                 self.sizes.append(len(words))
@@ -199,8 +206,7 @@ class Items:
         The texts' words stand in one row, so that short texts share numpy's calls. Filler that
         matches nothing follows each, so that a text's end gets the same windows wherever it lies.
         """
-        each = [WORD.findall((t or "").lower()) for t in texts]
-        hashed = np.split(HASHES.of([w for ws in each for w in ws]), np.cumsum([len(ws) for ws in each])[:-1])
+        hashed = [word_hashes(t) for t in texts]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         if self.single:
             for place, text in enumerate(hashed):
@@ -214,11 +220,12 @@ class Items:
         sizes = np.array([len(hashed[place]) for place in places], np.int64)
         firsts = np.cumsum(sizes + len(filler)) - sizes - len(filler)
         words = np.concatenate([a for place in places for a in (hashed[place], filler)] or [filler[:0]])
-        for begin in range(0, len(words), PART):
-            part = words[begin : begin + PART + self.largest]
+        step = max(PART, self.largest)
+        for begin in range(0, len(words), step):
+            part = words[begin : begin + step + self.largest]
             sums = votes(part)
             for size in self.index:
-                pairs, n = size - 1, min(len(part) - size + 1, PART)
+                pairs, n = size - 1, min(len(part) - size + 1, step)
                 if n > 0:
                     for window, item in self.near(packed(sums[pairs : pairs + n], sums[:n]), size):
                         start = begin + window
@@ -241,31 +248,33 @@ class Items:
                 found = weighted_runs(window)
                 both = len(np.intersect1d(found, runs, assume_unique=True))
                 alike = both / (len(found) + len(runs) - both)
-                if alike >= self.similar and alike > best.get((place, item), (0.0,))[0]:
+                if alike >= self.similar and (alike, -s) > (best.get((place, item), (0.0, 0))[0], -best.get((place, item), (0.0, 0))[1]):
                     best[place, item] = alike, s, len(window)
 
 
-_built: dict[int, Items] = {}
-
-
 def items_of(rows: Broadcast, radius: int, similar: float) -> Items:
     """The index of a broadcast block; a worker keeps the last one."""
-    if rows.value[0] not in _built:
-        _built.clear()
-        _built[rows.value[0]] = Items(rows.value[1], radius, similar)
-    return _built[rows.value[0]]
+    return held("items", (rows.value[0], radius, similar), lambda: Items(rows.value[1], radius, similar))
 
 
 def item_blocks(items: DataFrame) -> Iterator[Broadcast]:
-    """The benchmark in blocks of at most ITEMS rows, each small enough to broadcast."""
-    n = items.count()
-    parts = -(-n // (ITEMS // 2)) or 1  # by hash, so blocks are about half full
+    """The benchmark in blocks of at most ITEMS rows and about ITEM_BYTES (one item at least), each small enough to broadcast."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-2 * total["n"] // ITEMS), -(-2 * total["bytes"] // ITEM_BYTES))  # by hash, so blocks are about half full
     spread = items.select(F.col("item_id").cast("long"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("part"))
     for part in range(parts):
-        rows = [(r[0], r[1]) for r in spread.where(F.col("part") == part).select("item_id", "text").toLocalIterator()]
-        for at in range(0, max(1, len(rows)), ITEMS):
-            block = sorted(rows[at : at + ITEMS], key=str)
-            yield items.sparkSession.sparkContext.broadcast((hash((part, at, tuple(block))), block))
+        block, held_bytes = [], 0
+        rows = spread.where(F.col("part") == part).select("item_id", "text") if parts > 1 else spread.select("item_id", "text")
+        for item, text in itertools.chain(rows.toLocalIterator(), [(None, None)] if part == parts - 1 else []):
+            weight = 64 + len((text or "").encode())
+            if block and (len(block) == ITEMS or held_bytes + weight > 2 * ITEM_BYTES):
+                yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(block, key=str)))
+                block, held_bytes = [], 0
+            block.append((item, text))
+            held_bytes += weight
+        if block:
+            yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(block, key=str)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:

@@ -3,7 +3,10 @@
 A document is the weighted set of its runs of five words (lower-cased `\\w+`), each weighted
 by how often it occurs; similarity is weighted Jaccard, 0.8 or more makes a link, and classes
 are the connected components. A document of one to four words is one run. Null texts and
-texts without words are like nothing: each stays a class of its own.
+texts without words are like nothing: each stays a class of its own. Texts of any length go
+through whole, their darts in parts; an empty table gives an empty one; rows that repeat id and
+text are one document; ties go to the smaller id, then text hash; `classes` takes `doc_id` and
+`text` only, so other columns cannot clash, and `drop_near_duplicates` keeps all columns as they are.
 
 DartMinHash: an element of weight w owns w unit columns. Darts fall on a column at the ranks
 of a Poisson process that depends only on the column, so equal columns get equal darts in
@@ -19,16 +22,22 @@ probability equal to their weighted Jaccard similarity.
    pivot, the pair verified on the exact weighted sets, and components are formed; then the
    nearest pair for each text and other component; then what pivot pairs are left between
    different components.
-3. What buckets of three or more texts still hold in different components is compared in
-   blocks of bounded size, inside tasks; only pairs that join components leave them. Inside a
-   component no pairs are made, and no candidate is capped or dropped.
+3. What buckets of three or more texts still hold in different components is compared inside
+   tasks, in blocks of bounded number and bytes. Of each bucket the texts of its largest
+   component never meet each other, only the others; so a bucket of n texts with m outside that
+   component costs n * m / BLOCK^2 meetings of blocks. Buckets with more than LARGE such texts are
+   split first: their texts get signatures of more coordinates to a band (8, then 12), which
+   similar texts still share in one of many bands. Only pairs that join components leave the
+   tasks, and no candidate is capped or dropped.
+
+Recall: a pair at exactly 0.8 shares no band with a probability of (1 - 0.8^4)^24, 3 in a
+million, and loses about as much again in each splitting and by the sketches; tests measure it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +45,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import pieces_of
+from lodestone.llm.arrays import arrow_rows, mixed, pieces_of, run_hashes, word_hashes
 from lodestone.llm.common import ID, TH, cut, keyed, table
 from lodestone.llm.components import components
-from lodestone.llm.substrings import HASHES, arrow_rows, mixed, run_hashes
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
-WORD = re.compile(r"\w+")
 #: Sketches of texts that differ in more bits are under the threshold: at a similarity of 0.8
 #: the mean is 9.6 of 96 with a deviation of 2.9, so one pair in a million is lost here at most.
 SKETCH_BITS = 24
-#: Texts of a block in the last step.
-BLOCK = 1024
+#: Texts and bytes of a block in the last step.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Texts outside its largest component from which a bucket is split by longer bands: (rows, bands).
+LARGE, FINER = 4096, ((8, 72), (12, 180))
+#: Unit columns whose darts are thrown at a time.
+THROWN = 1 << 17
 
 
 def columns_of(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -56,71 +67,119 @@ def columns_of(text: str | None) -> tuple[bytes, np.ndarray]:
     The n-th column of a run of words is a hash of the run and n, so that the Jaccard
     similarity of two sets of columns is the weighted one of the runs.
     """
-    words = HASHES.of(WORD.findall((text or "").lower()))
+    words = word_hashes(text)
     if not len(words):
         return b"", words
     runs = np.sort(run_hashes(words, min(WORDS, len(words))))
-    first = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1])
-    nth = np.arange(len(runs)) - np.repeat(first, np.diff(np.append(first, len(runs))))
-    return hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.sort(mixed(runs + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
-
-def _darts(columns: np.ndarray, below: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranks, coordinates and names of all darts on these columns under a rank."""
-    ranks, where, names = [], [], []
-    alive, rank, step = columns, np.zeros(len(columns)), 0
+    again = np.flatnonzero(runs[1:] == runs[:-1]) + 1
+    if len(again):
+        first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+        nth = np.arange(len(runs)) - np.repeat(first, np.diff(np.append(first, len(runs))))
+        runs = runs + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.sort(mixed(runs))
+
+
+def _darts(columns: np.ndarray, below: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Column places, ranks, coordinates and names of all darts on these columns under their ranks."""
+    places, ranks, where, names = [], [], [], []
+    at, alive, most, rank, step = np.arange(len(columns)), columns, below, np.zeros(len(columns)), 0
     while len(alive):
         # A few darts a column at a time: more where the bound is far away.
-        ahead = max(1, math.ceil(below - rank.min())) if below > 4 else 1
+        far = float((most - rank).min())
+        ahead = math.ceil(far) if far > 4 else 1
         draw = mixed(alive[:, None] + (np.arange(step, step + ahead, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        thrown = rank[:, None] - np.cumsum(np.log1p(-((draw >> np.uint64(11)).astype(float) * 2.0**-53)), axis=1) * 1.0
-        hit = thrown < below
+        thrown = rank[:, None] - np.cumsum(np.log1p(-((draw >> np.uint64(11)).astype(float) * 2.0**-53)), axis=1)
+        hit = thrown < most[:, None]
+        places.append(np.broadcast_to(at[:, None], hit.shape)[hit])
         ranks.append(thrown[hit])
         other = mixed(draw[hit] ^ np.uint64(0xE7037ED1A0B428DB))
         where.append((other % np.uint64(k)).astype(np.int64))
         names.append(mixed(other))
-        rank, on = thrown[:, -1], thrown[:, -1] < below
-        alive, rank, step = alive[on], rank[on], step + ahead
-    return np.concatenate(ranks), np.concatenate(where), np.concatenate(names)
+        on = hit[:, -1]
+        at, alive, most, rank, step = at[on], alive[on], most[on], thrown[on, -1], step + ahead
+    return tuple(np.concatenate(x) if x else np.empty(0) for x in (places, ranks, where, names))
+
+
+def dart_signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """k coordinates of each set, each the name of the earliest dart on it; sets are not empty."""
+    out = np.zeros((len(sets), k), np.uint64)
+    wanted = {i: (k * math.log(k) + 2 * k) / len(c) for i, c in enumerate(sets)}
+    while wanted:
+        # Sets whose bounds are alike are thrown at together; large sets go in parts.
+        groups: dict[int, list[int]] = {}
+        for i, below in wanted.items():
+            groups.setdefault(math.frexp(below)[1], []).append(i)
+        again: dict[int, float] = {}
+        for members in groups.values():
+            room, batch = 0, []
+            for i in [*members, None]:
+                if batch and (i is None or room + len(sets[i]) > THROWN):
+                    short = _throw(sets, batch, wanted, k, out)
+                    again.update({j: 2 * wanted[j] for j in short})
+                    room, batch = 0, []
+                if i is not None:
+                    batch.append(i)
+                    room += len(sets[i])
+        wanted = again
+    return out
+
+
+def _throw(sets: list[np.ndarray], batch: list[int], below: dict[int, float], k: int, out: np.ndarray) -> list[int]:
+    """Fill the batch's rows of `out`; the members of which a coordinate was not hit come back."""
+    least, names = np.full(len(batch) * k, np.inf), np.zeros(len(batch) * k, np.uint64)
+    owner = np.repeat(np.arange(len(batch)), [len(sets[i]) for i in batch])
+    columns = np.concatenate([sets[i] for i in batch])
+    bound = np.repeat([below[i] for i in batch], [len(sets[i]) for i in batch])
+    for at in range(0, len(columns), THROWN):
+        part = slice(at, at + THROWN)
+        places, ranks, where, called = _darts(columns[part], bound[part], k)
+        spot = owner[part][places] * k + where
+        order = np.argsort(-ranks, kind="stable")  # of several darts on a spot the last one written is the earliest
+        order = order[ranks[order] < least[spot[order]]]
+        least[spot[order]], names[spot[order]] = ranks[order], called[order]
+    out[batch] = names.reshape(len(batch), k)
+    return [i for i, full in zip(batch, np.isfinite(least).reshape(len(batch), k).all(axis=1)) if not full]
 
 
 def dart_min_hash(columns: np.ndarray, k: int) -> np.ndarray:
-    """k coordinates, each the name of the earliest dart on it; columns are not empty."""
-    below = (k * math.log(k) + 2 * k) / len(columns)
-    while True:
-        ranks, where, names = _darts(columns, below, k)
-        order = np.argsort(-ranks, kind="stable")
-        found, out = np.zeros(k, bool), np.zeros(k, np.uint64)
-        found[where] = True
-        if found.all():
-            out[where[order]] = names[order]
-            return out
-        below *= 2
+    """The signature of one set."""
+    return dart_signatures([columns], k)[0]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Columns that two sorted sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity from two sorted arrays of unit columns."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = shared(a, b)
     return both / max(1, len(a) + len(b) - both)
 
 
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> list[int]:
+    return run_hashes_of_rows(signature[: bands * rows].reshape(bands, rows)).astype(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Identity columns, `text_id` (digest of the words; null without words), `keys` and `sketch`."""
     types = {ID: pa.int64(), TH: pa.int64(), "text_id": pa.binary(), "keys": pa.list_(pa.int64()), "s1": pa.int64(), "s2": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces_of(whole)):
+            found = [columns_of(text) for text in batch.column(2).to_pylist()]
+            drawn = iter(dart_signatures([columns for text_id, columns in found if text_id], bands * rows))
             out = []
-            for doc, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                text_id, columns = columns_of(text)
+            for doc, th, (text_id, _) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
                 if not text_id:
                     out.append((doc, th, None, [], 0, 0))
                     continue
-                signature = dart_min_hash(columns, bands * rows)
-                keys = run_hashes_of_rows(signature.reshape(bands, rows))
+                signature = next(drawn)
                 bits = np.packbits((signature & np.uint64(1)).astype(np.uint8), bitorder="little")
                 s1, s2 = np.frombuffer(np.pad(bits, (0, -len(bits) % 16)).tobytes()[:16], np.int64).tolist()
-                out.append((doc, th, text_id, keys.astype(np.int64).tolist(), s1, s2))
+                out.append((doc, th, text_id, band_keys(signature, bands, rows), s1, s2))
             yield arrow_rows(out, types)
 
     return docs.select(ID, TH, "text").mapInArrow(run, f"{ID} long, {TH} long, text_id binary, keys array<long>, s1 long, s2 long")
@@ -162,20 +221,59 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return sized.where(alike("a_set", "b_set")).select("a", "b")
 
 
+def finer_keys(texts: DataFrame, rows: int, bands: int) -> DataFrame:
+    """`key`, `text_id`: bands of more coordinates from signatures of their own; texts: `text_id`, `columns`."""
+    types = {"text_id": pa.binary(), "keys": pa.list_(pa.int64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces_of(whole, 64)):
+            ids = batch.column(0).to_pylist()
+            drawn = dart_signatures([np.frombuffer(c, np.uint64) for c in batch.column(1).to_pylist()], rows * bands)
+            yield arrow_rows([(i, band_keys(s, bands, rows)) for i, s in zip(ids, drawn)], types)
+
+    return texts.select("text_id", "columns").mapInArrow(run, "text_id binary, keys array<long>").select("text_id", F.explode("keys").alias("key"))
+
+
+def judged(rest: DataFrame) -> DataFrame:
+    """`key`, `text_id`, `label`, `minor` (outside the bucket's largest component) and `m`, the number of those.
+
+    Buckets with texts of one component only are left out. Sizes of components are counted
+    before they meet, so no bucket comes together.
+    """
+    sizes = rest.groupBy("key", "label").agg(F.count("*").alias("size"))
+    buckets = cut(sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("n"), F.count("*").alias("labels")).where("labels > 1"))
+    known = buckets.select("key", F.col("most.label").alias("major"), (F.col("n") - F.col("most.size")).alias("m"))
+    return rest.join(known, "key").select("key", "text_id", "label", (F.col("label") != F.col("major")).alias("minor"), "m")
+
+
 def crossing_links(rest: DataFrame, sketches: DataFrame, sets: DataFrame, similar: float, most: int) -> DataFrame:
-    """Verified pairs (`a`, `b`) between components; rest: `key`, `n`, `text_id`, `label` of the buckets left.
+    """Verified pairs (`a`, `b`) between components; rest: `key`, `text_id`, `label` of the buckets left.
 
-    Texts are dealt to blocks of about BLOCK, those of one large bucket together. Blocks that
-    meet in some bucket meet in a task, which compares their texts across components and sends
-    on only what joins two components it had not joined before: no pair leaves it otherwise.
+    Large buckets are split by longer bands as long as there are any. Texts are dealt to blocks,
+    those of one large bucket together, its largest component's and the others' apart. Blocks
+    that meet in some bucket meet in a task, which compares their texts across components and
+    sends on only what joins two components it had not joined before: no pair leaves it otherwise.
     """
-    home = rest.groupBy("text_id", "label").agg(F.max_by("key", F.struct("n", "key")).alias("family"))
-    sizes = home.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    level = cut(judged(rest))
+    kept = level
+    for rows, bands in FINER:
+        large = cut(level.where(F.col("m") > LARGE).select("text_id", "label").distinct())
+        if large.isEmpty():
+            break
+        kept = kept.where(F.col("m") <= LARGE)
+        level = cut(judged(finer_keys(large.join(sets, "text_id"), rows, bands).join(large, "text_id")))
+        kept = kept.unionByName(level)
+
+    weighed = sets.select("text_id", F.octet_length("columns").alias("bytes"))
+    home = kept.groupBy("text_id", "label").agg(F.max_by(F.struct("key", "minor"), F.struct("m", "key")).alias("family")).join(weighed, "text_id")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    sizes = home.groupBy("family").agg(parts.alias("parts"))
     part = F.pmod(F.xxhash64("text_id"), F.col("parts"))
     placed = cut(home.join(sizes, "family").select("text_id", "label", F.xxhash64("family", part).alias("block")))
-    spots = cut(rest.select("key", "text_id").join(placed, "text_id").select("key", "block").distinct())
-    x, y = spots.alias("x"), spots.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
+    spots = cut(kept.select("key", "text_id", "minor").join(placed, "text_id").groupBy("key", "block").agg(F.max("minor").alias("minor")))
+    # In a bucket, a block with texts outside the largest component meets every block, and no others meet.
+    x, y = spots.where("minor").alias("x"), spots.alias("y")
+    met = x.join(y, F.col("x.key") == F.col("y.key")).select(F.least("x.block", "y.block").alias("i"), F.greatest("x.block", "y.block").alias("j")).distinct()
     sides = F.array_distinct(F.array("i", "j"))
     asked = cut(met.select(F.xxhash64("i", "j").alias("task"), F.col("i") == F.col("j"), F.explode(sides).alias("block")).toDF("task", "alone", "block"))
     texts = cut(placed.join(sketches, "text_id").join(sets, "text_id"))
@@ -192,17 +290,32 @@ def crossing_links(rest: DataFrame, sketches: DataFrame, sets: DataFrame, simila
         alone, found = rows[0][1], []
         block, label = np.array([r[2] for r in rows]), [r[4] for r in rows]
         number = {name: i for i, name in enumerate(dict.fromkeys(label))}
+        if len(number) == 1:
+            return []
         component = np.array([number[name] for name in label])
         s1, s2 = np.array([r[5] for r in rows]).view(np.uint64), np.array([r[6] for r in rows]).view(np.uint64)
         columns = [np.frombuffer(r[7], np.uint64) for r in rows]
         size = np.array([len(c) for c in columns])
+        # Shared columns of one text with all others at once: who holds each of its columns.
+        every = np.concatenate(columns)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(rows)), size)[order]
         for k in range(1, len(rows)):
             differ = np.bitwise_count(s1[:k] ^ s1[k]) + np.bitwise_count(s2[:k] ^ s2[k])
             near = (differ <= most) & (component[:k] != component[k]) & (np.minimum(size[:k], size[k]) >= similar * np.maximum(size[:k], size[k]))
             if not alone:
                 near &= block[:k] != block[k]
             at = np.flatnonzero(near)
-            for j in at[np.argsort(differ[at], kind="stable")].tolist():
+            if not len(at):
+                continue
+            if len(at) > 8:
+                low, high = np.searchsorted(every, columns[k]), np.searchsorted(every, columns[k], side="right")
+                n = high - low
+                holders = owner[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+                both = np.bincount(holders, minlength=len(rows))[at]
+            else:
+                both = np.array([shared(columns[j], columns[k]) for j in at.tolist()])
+            for j in at[both >= similar * (size[at] + size[k] - both) - 1e-9].tolist():
                 p, q = find(label[j]), find(label[k])
                 if p != q and similarity(columns[j], columns[k]) >= similar:
                     root[max(p, q)] = min(p, q)
@@ -285,9 +398,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     in_turn(star)
 
     # Pairs without a pivot exist in buckets of three or more that hold several components.
-    marked = label_of(members.where("n > 2"), "text_id", "label")
-    several = cut(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-    rest = cut(marked.join(several, "key").select("key", "n", "text_id", "label"))
+    rest = cut(label_of(members.where("n > 2").select("key", "text_id"), "text_id", "label"))
     late = cut(crossing_links(rest, known.select("text_id", "s1", "s2"), sets, similar, most))
     if not late.isEmpty():
         links = links.union(late)

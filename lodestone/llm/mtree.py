@@ -39,9 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import pieces_of
+from lodestone.llm.arrays import arrow_rows, pieces_of
 from lodestone.llm.common import cut, table
-from lodestone.llm.substrings import arrow_rows
 
 K, EVERY = 5, 50
 SAMPLE, NODES, PAGE, GROUP, BLOCK = 4096, 64, 512, 16, 512

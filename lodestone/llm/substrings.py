@@ -6,86 +6,82 @@ doc_id, judged on the input.
 
 1. Each window's minimiser is the least hash among its runs of 8 words. Windows that are
    equal have equal minimisers, so only minimisers seen in two documents matter; counting
-   them moves one row per change of minimiser (about one per 22 words).
+   them moves one row per change of minimiser (about one per 22 words), with its windows and bytes.
 2. Consecutive windows that share such a minimiser travel as one packed string (their words
-   once, not once per window) to the minimiser's bucket. There the windows are sorted and
-   each run of equal ones is read from its smallest document on: exact, on the words.
-3. A bucket of more than `hot` documents is not brought together. Its windows' 128-bit
-   digests are aggregated by Spark (map-side first), and the repeated ones come back to the
-   packed strings in lists of bounded size.
+   once, not once per window) to the minimiser's bucket. There the windows' places are sorted by
+   hash and each run of equal ones is read from its smallest document on; equal hashes are
+   compared on the words, so the result is exact.
+3. A bucket of more than `hot` windows, or of more than HOT_BYTES, is not brought together. Its
+   windows go as 128-bit hashes with their places; Spark counts them (map-side first) and joins
+   each window to its first document, a hash at a time, whatever the bucket.
 4. Equal texts are one text: the copy with the smallest doc_id takes part, the others of 50
    or more words lose every word, as all their windows start in that copy.
 
-Null texts have no words. A null doc_id is neither smaller nor larger than another: such rows
-stay whole and remove nothing. Rows that repeat an id do not remove from each other.
+Null and empty texts have no words. A null doc_id is neither smaller nor larger than another: such
+rows stay whole and remove nothing. Rows that repeat an id do not remove from each other. Texts of
+any length go through whole: what Python holds of one grows with its bytes, not with its windows'.
+An empty table gives an empty one; input columns named as results are (in any case) are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import pieces_of
-from lodestone.llm.common import ID, TH, cut, keyed, same_doc, table, with_columns_of
+from lodestone.llm.arrays import arrow_map, arrow_rows, pieces_of, run_hashes, span_hashes, spans
+from lodestone.llm.common import ID, TH, cut, keyed, table, with_columns_of
 
-WINDOW, SEED_WORDS, HOT = 50, 8, 1000
-WORD = re.compile(r"[^ \t-\r]+")
-#: Digests of repeated windows that travel in one list.
-LIST = 4096
+WINDOW, SEED_WORDS = 50, 8
+#: Windows and bytes of the packed strings from which a bucket is not brought together.
+HOT, HOT_BYTES = 50_000, 8 << 20
+#: The bytes that part words.
+INSIDE = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
+#: Multipliers of the two window hashes; odd, so that they have inverses.
+FACTORS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when large, as they can be made again."""
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of each word of a text in UTF-8."""
+    codes = np.frombuffer(data, np.uint8)
+    starts, ends = spans(INSIDE[codes])
+    return span_hashes(codes, starts, ends), starts, ends
 
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 400_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def powers(factor: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), factor, np.uint64)]), dtype=np.uint64)[:n]
 
 
-HASHES = WordHashes()
+def window_hashes(words: np.ndarray, window: int, factor: int) -> np.ndarray:
+    """A hash for each window, from the running sum of the words' hashes over powers of an odd number."""
+    inverse = pow(factor, -1, 1 << 64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(inverse, len(words)), dtype=np.uint64)])
+    return (sums[window:] - sums[:-window]) * powers(factor, len(words) - window + 1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` values in a row, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each run of n words, from the words' hashes."""
-    total = np.zeros(len(words) - n + 1, np.uint64)
-    for j in range(n):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(words[j : len(words) - n + 1 + j])
-    return mixed(total)
-
-
-def super_k_mers(words: list[str], window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser (as signed long), first window and number of windows of each super-k-mer."""
+def super_k_mers(words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser (as signed long), first window and number of windows of each super-k-mer; words are hashes."""
     if len(words) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    seeds = run_hashes(HASHES.of(words), seed)
-    least = np.lib.stride_tricks.sliding_window_view(seeds, window - seed + 1).min(axis=1)
+    least = least_of(run_hashes(words, seed), window - seed + 1)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     return least[first].astype(np.int64), first, np.diff(np.append(first, len(least)))
 
 
-def digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-
-
 def ranges(doc: int | None, th: int, starts: list[int], window: int) -> Iterator[tuple[int | None, int, int, int]]:
     """Removed words of a document, first and last exclusive, from its repeated windows."""
     begin = end = -1
@@ -99,123 +95,80 @@ def ranges(doc: int | None, th: int, starts: list[int], window: int) -> Iterator
         yield doc, th, begin, end
 
 
-def arrow_rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in types]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
-
-
-def arrow_map(df: DataFrame, rows_of: Callable[..., Iterator[tuple]], schema: str, types: dict[str, pa.DataType]) -> DataFrame:
-    """One call of rows_of for each row, its results sent on in batches of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces_of(whole)):
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                out.extend(rows_of(*row))
-                if len(out) > 20_000:
-                    yield arrow_rows(out, types)
-                    out = []
-            yield arrow_rows(out, types)
-
-    return df.mapInArrow(run, schema)
-
-
 RANGE = {ID: pa.int64(), TH: pa.int64(), "begin": pa.int64(), "end": pa.int64()}
 RANGE_SCHEMA = f"{ID} long, {TH} long, begin long, end long"
 
 
+def later_windows(rows: list[tuple], window: int) -> Iterator[tuple]:
+    """Removed ranges within one bucket of rows (minimiser, doc, text hash, first window, packed words)."""
+    docs = np.array([r[1] for r in rows])
+    if docs.min() == docs.max():
+        return
+    hashes, owner, place, texts, bounds = [], [], [], [], []
+    for k, row in enumerate(rows):
+        data = row[4].encode()
+        words, starts, ends = hashed_words(data)
+        found = window_hashes(words, window, FACTORS[0])
+        hashes.append(found)
+        owner.append(np.full(len(found), k))
+        place.append(np.arange(len(found)))
+        texts.append(data)
+        bounds.append((starts, ends))
+    hashes, owner, place = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+    order = np.lexsort((docs[owner], hashes))
+    hashes, owner, place = hashes[order], owner[order], place[order]
+    begins = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    ends = np.append(begins[1:], len(hashes))
+    several = docs[owner[begins]] != docs[owner[ends - 1]]
+    gone: dict[int, list[int]] = {}
+    for begin, end in zip(begins[several].tolist(), ends[several].tolist()):
+        first: dict[bytes, int] = {}  # one entry, but for equal hashes of different words
+        for k, i in zip(owner[begin:end].tolist(), place[begin:end].tolist()):
+            starts, stops = bounds[k]
+            doc = rows[k][1]
+            if first.setdefault(texts[k][starts[i] : stops[i + window - 1]], doc) < doc:
+                gone.setdefault(k, []).append(rows[k][3] + i)
+    for k, starts in gone.items():
+        yield from ranges(rows[k][1], rows[k][2], starts, window)
+
+
 def bucket_ranges(packed: DataFrame, window: int) -> DataFrame:
     """Removed ranges from packed strings that are dealt and sorted by bucket."""
 
-    def of_bucket(rows: list[tuple]) -> Iterator[tuple]:
-        docs = {r[1] for r in rows}
-        if len(docs) < 2:
-            return
-        windows = []
-        for k, (_, doc, _, _, text) in enumerate(rows):
-            words = text.split(" ")
-            windows += [(" ".join(words[i : i + window]), doc, k, i) for i in range(len(words) - window + 1)]
-        windows.sort()
-        gone: dict[int, list[int]] = {}
-        before, first = None, None
-        for text, doc, k, i in windows:
-            if text != before:
-                before, first = text, doc
-            elif doc > first:
-                gone.setdefault(k, []).append(rows[k][3] + i)
-        for k, starts in gone.items():
-            yield from ranges(rows[k][1], rows[k][2], starts, window)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[tuple] = []
         for batch in (piece for whole in batches for piece in pieces_of(whole, 1024)):
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket and bucket[0][0] != row[0]:
-                    out.extend(of_bucket(bucket))
+                    out.extend(later_windows(bucket, window))
                     bucket = []
                 bucket.append(row)
             yield arrow_rows(out, RANGE)
-        yield arrow_rows(list(of_bucket(bucket)) if bucket else [], RANGE)
+        yield arrow_rows(list(later_windows(bucket, window)) if bucket else [], RANGE)
 
     return packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, RANGE_SCHEMA)
 
 
-def hot_ranges(packed: DataFrame, window: int) -> DataFrame:
-    """Removed ranges in buckets that may be of any size."""
-
-    def digests_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"mini": pa.int64(), "w": pa.binary(), "low": pa.int64(), "high": pa.int64()}
-        for batch in (piece for whole in batches for piece in pieces_of(whole, 4096)):
-            seen: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for mini, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.split(" ")
-                for i in range(len(words) - window + 1):
-                    key = mini, digest(words[i : i + window])
-                    low, high = seen.get(key, (doc, doc))
-                    seen[key] = min(low, doc), max(high, doc)
-            yield arrow_rows([(*k, *v) for k, v in seen.items()], types)
-
-    def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated windows of a bucket as packed strings of bounded size; rows come sorted by bucket."""
-        types = {"mini": pa.int64(), "known": pa.binary()}
-        mini, parts = None, []
-        for batch in (piece for whole in batches for piece in pieces_of(whole, 4096)):
-            out = []
-            for m, w, low in zip(*(c.to_pylist() for c in batch.columns)):
-                if parts and (m != mini or len(parts) == LIST):
-                    out.append((mini, b"".join(parts)))
-                    parts = []
-                mini = m
-                parts.append(w + low.to_bytes(8, "little", signed=True))
-            yield arrow_rows(out, types)
-        yield arrow_rows([(mini, b"".join(parts))] if parts else [], types)
-
-    repeated = (
-        packed.select("mini", ID, "packed")
-        .mapInArrow(digests_of, "mini long, w binary, low long, high long")
-        .groupBy("mini", "w")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        .where("low < high")
-        .select("mini", "w", "low")
-    )
-    lists = cut(repeated.repartition("mini").sortWithinPartitions("mini").mapInArrow(lists_of, "mini long, known binary"))
+def hot_ranges(chosen: DataFrame, window: int, seed: int) -> DataFrame:
+    """Removed ranges in buckets that may be of any size; chosen: identity, `text` and the `minis` asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacked: dict[bytes, dict[bytes, int]] = {}
-        for batch in (piece for whole in batches for piece in pieces_of(whole, 64)):
-            out: list[tuple] = []
-            for doc, th, start, text, known in zip(*(c.to_pylist() for c in batch.columns)):
-                if known not in unpacked:
-                    if len(unpacked) > 64:
-                        unpacked.clear()
-                    unpacked[known] = {known[i : i + 16]: int.from_bytes(known[i + 16 : i + 24], "little", signed=True) for i in range(0, len(known), 24)}
-                first, words = unpacked[known], text.split(" ")
-                starts = [start + i for i in range(len(words) - window + 1) if first.get(digest(words[i : i + window]), doc) < doc]
-                out.extend(ranges(doc, th, starts, window))
-            yield arrow_rows(out, RANGE)
+        names = ["w1", "w2", ID, TH, "begin"]
+        for batch in (piece for whole in batches for piece in pieces_of(whole)):
+            for doc, th, text, minis in zip(*(c.to_pylist() for c in batch.columns)):
+                words, _, _ = hashed_words(text.encode())
+                mini, first, n = super_k_mers(words, window, seed)
+                mine = np.isin(mini, np.array(minis, np.int64))
+                at = np.arange(n[mine].sum()) + np.repeat(first[mine] - np.cumsum(n[mine]) + n[mine], n[mine])
+                w1, w2 = (window_hashes(words, window, f)[at].astype(np.int64) for f in FACTORS)
+                columns = [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), th)), pa.array(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return packed.join(lists, "mini").select(ID, TH, "start", "packed", "known").mapInArrow(run, RANGE_SCHEMA)
+    windows = cut(chosen.mapInArrow(run, f"w1 long, w2 long, {ID} long, {TH} long, begin long"))
+    firsts = windows.groupBy("w1", "w2").agg(F.min(ID).alias("low"), F.max(ID).alias("high")).where("low < high").drop("high")
+    later = windows.join(firsts, ["w1", "w2"]).where(F.col(ID) > F.col("low"))
+    return later.select(ID, TH, "begin", (F.col("begin") + window).alias("end"))
 
 
 def repeated_ranges(base: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, hot: int = HOT) -> DataFrame:
@@ -223,17 +176,27 @@ def repeated_ranges(base: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces_of(whole)):
-            found = [np.unique(super_k_mers(WORD.findall(t), window, seed)[0]) for t in batch.column(2).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            columns = [pa.array(np.concatenate([*found, np.empty(0, np.int64)])), batch.column(0).take(rows), batch.column(1).take(rows)]
-            yield pa.RecordBatch.from_arrays(columns, names=["mini", ID, TH])
-
-    seen = cut(base.select(ID, TH, "text").mapInArrow(minimisers, f"mini long, {ID} long, {TH} long"))
+            rows, found, counts, sizes = [], [], [], []
+            for at, text in enumerate(batch.column(2).to_pylist()):
+                words, starts, ends = hashed_words(text.encode())
+                mini, first, n = super_k_mers(words, window, seed)
+                if len(mini):
+                    once, which = np.unique(mini, return_inverse=True)
+                    rows.append(np.full(len(once), at))
+                    found.append(once)
+                    counts.append(np.bincount(which, n))
+                    sizes.append(np.bincount(which, ends[first + n + window - 2] - starts[first]))
+            rows, found, counts, sizes = (np.concatenate([*x, np.empty(0, np.int64)], dtype=np.int64, casting="unsafe") for x in (rows, found, counts, sizes))
+            at = pa.array(rows)
+            columns = [pa.array(found), batch.column(0).take(at), batch.column(1).take(at), pa.array(counts), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["mini", ID, TH, "windows", "bytes"])
+
+    seen = cut(base.select(ID, TH, "text").mapInArrow(minimisers, f"mini long, {ID} long, {TH} long, windows long, bytes long"))
     shared = cut(
         seen.groupBy("mini")
-        .agg(F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("docs"))
+        .agg(F.min(ID).alias("low"), F.max(ID).alias("high"), F.sum("windows").alias("windows"), F.sum("bytes").alias("bytes"))
         .where("low < high")
-        .select("mini", (F.col("docs") > hot).alias("hot"))
+        .select("mini", ((F.col("windows") > hot) | (F.col("bytes") > HOT_BYTES)).alias("hot"))
     )
     wanted = cut(
         seen.join(shared, "mini")
@@ -242,18 +205,20 @@ def repeated_ranges(base: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
     )
     found = base.join(wanted, [ID, TH])
 
-    def packed_of(minis: str) -> DataFrame:
-        def rows_of(doc: int, th: int, text: str, wanted_minis: list[int]) -> Iterator[tuple]:
-            chosen, words = set(wanted_minis), WORD.findall(text)
-            for mini, start, n in zip(*(x.tolist() for x in super_k_mers(words, window, seed))):
-                if mini in chosen:
-                    yield mini, doc, th, start, " ".join(words[start : start + n + window - 1])
-
-        types = {"mini": pa.int64(), ID: pa.int64(), TH: pa.int64(), "start": pa.int64(), "packed": pa.string()}
-        chosen = found.where(F.size(minis) > 0).select(ID, TH, "text", minis)
-        return arrow_map(chosen, rows_of, f"mini long, {ID} long, {TH} long, start long, packed string", types)
+    def rows_of(doc: int, th: int, text: str, minis: list[int]) -> Iterator[tuple]:
+        data = text.encode()
+        words, starts, ends = hashed_words(data)
+        mini, first, n = super_k_mers(words, window, seed)
+        mine = np.isin(mini, np.array(minis, np.int64))
+        last = first + n + window - 2
+        for m, f, begin, end in zip(mini[mine].tolist(), first[mine].tolist(), starts[first[mine]].tolist(), ends[last[mine]].tolist()):
+            yield m, doc, th, f, b" ".join(data[begin:end].split()).decode()
 
-    return bucket_ranges(packed_of("cold_minis"), window).unionByName(hot_ranges(packed_of("hot_minis"), window))
+    types = {"mini": pa.int64(), ID: pa.int64(), TH: pa.int64(), "start": pa.int64(), "packed": pa.string()}
+    cold = found.where(F.size("cold_minis") > 0).select(ID, TH, "text", "cold_minis")
+    packed = arrow_map(cold, rows_of, f"mini long, {ID} long, {TH} long, start long, packed string", types)
+    hot_rows = found.where(F.size("hot_minis") > 0).select(ID, TH, "text", "hot_minis")
+    return bucket_ranges(packed, window).unionByName(hot_ranges(hot_rows, window, seed))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, hot: int = HOT, digest_only: bool = False) -> DataFrame:
@@ -277,18 +242,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
         import pandas as pd
 
         out = []
-        for t, spans in zip(text, gone):
-            words = WORD.findall(t)
-            if spans is None or not len(words):
-                left = words
-            else:
+        for t, removed in zip(text, gone):
+            words = t.encode().split()  # at ASCII white space, which is what parts words here
+            left = words
+            if removed is not None and len(words):
                 keep = np.ones(len(words), bool)
-                for s in spans:
+                for s in removed:
                     if s["end"] < 2**62 or len(words) >= window:
                         keep[s["begin"] : s["end"]] = False
                 left = [words[i] for i in np.flatnonzero(keep)]
-            joined_text = " ".join(left)
-            out.append((len(words), len(words) - len(left), hashlib.sha256(joined_text.encode()).hexdigest() if digest_only else joined_text))
+            joined_text = b" ".join(left)
+            out.append((len(words), len(words) - len(left), hashlib.sha256(joined_text).hexdigest() if digest_only else joined_text.decode()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     done = joined.withColumn("__kept", kept("text", "__gone")).drop("__gone")

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import Bpe, coder, pieces_of, tokenizer_file, vocabulary
+from lodestone.llm.arrays import pieces_of
+from lodestone.llm.bpe import Bpe, coder, tokenizer_file, vocabulary
 from lodestone.llm.common import table
 
 RULES = ("first", "most", "shared")

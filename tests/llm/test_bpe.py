@@ -1,6 +1,7 @@
 """The encoder against the library, and the round trip."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -97,3 +98,19 @@ def test_given_sections(spark):
     rows = spark.createDataFrame([(1, "hello brave new world", [("title", 0, 5), ("rest", 5, 21), ("none", 50, 60)])], "doc_id long, text string, s array<struct<name:string,begin:int,end:int>>")
     got = {r["name"]: r.n_tokens for r in tokencounts.token_counts(rows, PATH, "most", "s").collect()}
     assert got == {"title": 1, "rest": 3, "none": 0}
+
+
+def test_files_of_other_kinds_are_refused():
+    with open(PATH, encoding="utf-8") as f:
+        model = json.load(f)
+    bpe.check(model)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check(model | change)
+
+
+def test_long_unbroken_texts_are_not_remembered(both):
+    own, _ = both
+    before = len(own)
+    own.encode("x" * 10_000)
+    assert len(own) == before and len(own.decode(np.frombuffer(own.encode("y" * 100_000), "<u4"))) == 100_000

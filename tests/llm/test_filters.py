@@ -1,5 +1,6 @@
 """Decontamination, toxicity, URL and licence filters, exact search, and the pipeline."""
 
+import itertools
 import random
 import zlib
 
@@ -40,10 +41,10 @@ def test_every_window_by_brute_force(sf_dir):
     got = {(m[0], m[1]) for m in index.matches([t for (t,) in docs])}
     want = set()
     for place, (text,) in enumerate(docs):
-        words = decontaminate.HASHES.of(decontaminate.WORD.findall((text or "").lower()))
+        words = decontaminate.word_hashes(text)
         known = set(decontaminate.run_hashes(words, 5).tolist()) if len(words) >= 5 else set()
         for item, size, runs, (_, item_text) in zip(index.ids, index.sizes, index.runs, items):
-            own = decontaminate.run_hashes(decontaminate.HASHES.of(decontaminate.WORD.findall(item_text.lower())), 5)
+            own = decontaminate.run_hashes(decontaminate.word_hashes(item_text), 5)
             if len(known.intersection(own.tolist())) < 0.5 * len(own):
                 continue
             for s in range(len(words) - size + 1):
@@ -94,7 +95,7 @@ def test_edited_copies_are_found(size):
         copy, n, edits = list(words), rng.randint(1, size // 10), rng.choice([1, 1, 2])
         for at in rng.sample([0, rng.randint(0, size - n), size - n], edits):
             copy[at : at + n] = [f"e{rng.randint(0, 10**9)}" for _ in range(n)]
-        a, b = (decontaminate.weighted_runs(decontaminate.HASHES.of(x)) for x in (words, copy))
+        a, b = (decontaminate.weighted_runs(decontaminate.word_hashes(" ".join(x))) for x in (words, copy))
         both = len(np.intersect1d(a, b))
         if both / (len(a) + len(b) - both) >= 0.8:
             items.append((len(items), " ".join(words)))
@@ -151,9 +152,41 @@ def test_toxicity_on_the_held_out_fold(labelled):
 
 def test_obfuscated_words_are_restored(spark, labelled):
     docs, labels = labelled
-    asked = spark.createDataFrame([(1, "you 1d1ot"), (2, "such a m0r0n here"), (3, "an i d i o t"), (4, "sccccum"), (5, "lovely landine talken"), (6, None), (7, "")], "doc_id long, text string")
+    said = ["you 1d1ot", "such a m0r0n here", "an i d i o t", "sccccum", "a m-o-r-o-n", "id-i-o-t", "id-io-t m-o-r-on", "idіоt", "mor0n!", "lovely landine talken", None, "", "8 9 1 0 !!"]
+    asked = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.scores(asked, toxicity.fit(docs, labels)).collect()}
-    assert [got[i] for i in range(2, 8)] == [1, 1, 1, 0, 0, 0]
+    assert [got[i] for i in range(len(said))] == [1] * 9 + [0] * 4
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    costs = toxicity.triple_costs([(int(t), int(n)) for t, n in zip(rng.integers(0, 64**3, 4000), rng.integers(1, 500, 4000))])
+    restorer, mean = toxicity.Restorer(costs), float(costs[0, 0, 0])
+    choice = random.Random(5)
+    for _ in range(300):
+        signs = [choice.choice("abdiost01$!7аі") for _ in range(choice.randint(1, 6))]
+        if choice.random() < 0.5:
+            signs[choice.randrange(len(signs))] = signs[0]
+        best = {}
+        for path in itertools.product(*(toxicity.options_of(signs, at, mean) for at in range(len(signs)))):
+            a = b = 0
+            cost = 0.0
+            for letter, extra in path:
+                cost += extra
+                if letter:
+                    c = int(toxicity.CLASS_OF[ord(letter)])
+                    cost += costs[a, b, c]
+                    a, b = b, c
+            cost += costs[a, b, 0] if a or b else 0.0
+            word = "".join(letter for letter, _ in path)
+            best[word] = min(cost, best.get(word, cost))
+        cost, word = restorer.viterbi(signs)
+        assert cost == pytest.approx(min(best.values())) and best[word] == pytest.approx(cost)
+
+
+def test_long_spots_are_restored_in_linear_time():
+    restorer = toxicity.Restorer(toxicity.triple_costs([]))
+    assert len(restorer.viterbi(list("a1" * 50_000))[1]) >= 50_000
 
 
 def test_toxicity_messy(spark, messy, labelled):
