@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Characters that are worked on at a time.
@@ -90,7 +91,7 @@ def pieces_of(batch: pa.RecordBatch, rows: int = ROWS, size: int = BYTES) -> Ite
         return
     weight = np.zeros(batch.num_rows + 1, np.int64)
     for column in heavy:
-        weight[1:] += np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+        weight[1:] += np.asarray(pc.fill_null(pc.binary_length(column), 0))
     ends = np.cumsum(weight)
     at = 0
     while at < batch.num_rows:
