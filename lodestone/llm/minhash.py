@@ -57,6 +57,8 @@ SKETCH_BITS = 24
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Texts outside its largest component from which a bucket is split by longer bands: (rows, bands).
 LARGE, FINER = 4096, ((8, 72), (12, 180))
+#: Parts in which the texts of one family are joined to its number of blocks.
+SALTS = 16
 #: Unit columns whose darts are thrown at a time.
 THROWN = 1 << 17
 
@@ -269,7 +271,10 @@ def crossing_links(rest: DataFrame, sketches: DataFrame, sets: DataFrame, simila
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
     sizes = home.groupBy("family").agg(parts.alias("parts"))
     part = F.pmod(F.xxhash64("text_id"), F.col("parts"))
-    placed = cut(home.join(sizes, "family").select("text_id", "label", F.xxhash64("family", part).alias("block")))
+    # A family may hold many texts: it is joined in SALTS parts.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt_home = home.withColumn("salt", F.pmod(F.xxhash64("text_id", F.lit(1)), F.lit(SALTS)).cast("int"))
+    placed = cut(dealt_home.join(salted, ["family", "salt"]).select("text_id", "label", F.xxhash64("family", part).alias("block")))
     spots = cut(kept.select("key", "text_id", "minor").join(placed, "text_id").groupBy("key", "block").agg(F.max("minor").alias("minor")))
     # In a bucket, a block with texts outside the largest component meets every block, and no others meet.
     x, y = spots.where("minor").alias("x"), spots.alias("y")
@@ -357,14 +362,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     # Rows that repeat id and text repeat their set, which is then taken once.
     sets = cut(column_sets(sources.select("k.text_id", "d.text")).groupBy("text_id").agg(F.first("columns").alias("columns")))
 
-    def sketches(name: str) -> DataFrame:
-        return known.select(F.col("text_id").alias(name), F.struct("s1", "s2").alias(f"{name}_sketch"))
-
-    pivots = members.where("pivot").select("key", F.col("text_id").alias("b"))
-    pairs = members.select("key", F.col("text_id").alias("a")).join(pivots, "key").where("a <> b").select("a", "b").distinct()
-    differ = F.expr("bit_count(a_sketch.s1 ^ b_sketch.s1) + bit_count(a_sketch.s2 ^ b_sketch.s2)")
+    # Each member of a bucket meets the bucket's pivots; sketches are there already, so few pairs go on.
+    sketched = members.join(known.select("text_id", "s1", "s2"), "text_id").select("key", F.col("text_id").alias("a"), "s1", "s2", "pivot")
+    pivots = sketched.where("pivot").select("key", F.col("a").alias("b"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+    differ = F.expr("bit_count(s1 ^ p1) + bit_count(s2 ^ p2)")
     most = SKETCH_BITS * bands * rows // 96
-    star = cut(pairs.join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", differ.alias("differ")).where(F.col("differ") <= most))
+    star = cut(sketched.join(pivots, "key").where("a <> b").select("a", "b", differ.alias("differ")).where(F.col("differ") <= most).distinct())
 
     links, labels = None, None
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,17 +12,20 @@ from pyspark.sql import functions as F
 from lodestone.llm import lines, minhash, substrings
 
 
-def brute_lines(texts, run=3):
+def brute_lines(texts, run=3, least=50):
     seqs, seen, gone = [], set(), {}
     for d, text in texts:
         content = [(i, x.strip(" \t\r")) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\r")]
         seqs.append((d, content))
     for d, content in seqs:
-        for s in range(len(content) - run + 1):
-            key = tuple(x for _, x in content[s : s + run])
-            if key in seen:
-                gone.setdefault(d, set()).update(i for i, _ in content[s : s + run])
-            seen.add(key)
+        for s in range(len(content)):
+            for n in range(1, run + 1):
+                key = tuple(x for _, x in content[s : s + n])
+                if len(key) < n or (n < run and sum(x.count(" ") + 1 for x in key) < least):
+                    continue
+                if key in seen:
+                    gone.setdefault(d, set()).update(i for i, _ in content[s : s + n])
+                seen.add(key)
     return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone.get(d, ())) for d, t in texts}
 
 
@@ -33,6 +37,23 @@ def test_line_dedup_against_brute_force(spark):
     assert got == brute_lines(texts)
 
 
+def test_runs_of_few_lines_and_many_words(spark):
+    rng = random.Random(12)
+    long = [" ".join(f"p{k}w{i}" for i in range(n)) for k, n in enumerate((20, 30, 49, 50, 70, 1))]
+    texts = [(d, "\n".join(rng.choice([*long, f"own {d}", ""]) for _ in range(rng.randint(0, 6)))) for d in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.kept_text for r in lines.line_dedup(docs).collect()}
+    assert got == brute_lines(texts)
+
+
+def test_line_dedup_of_a_hundred_thousand_lines(spark):
+    own = [f"line {i}" for i in range(100_000)]
+    texts = [(1, "\n".join(own)), (2, "\n".join(["before"] + own[500:])), (3, "\n".join(["same"] * 100_000))]
+    began = time.monotonic()
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed").collect()}
+    assert got == {1: (100_000, 0), 2: (99_501, 99_500), 3: (100_000, 99_999)} and time.monotonic() - began < 120
+
+
 def test_line_dedup_messy(spark, messy):
     got = lines.line_dedup(messy.withColumn("N_LINES", F.lit("x")))
     rows = got.collect()
