@@ -13,7 +13,7 @@ from lodestone.streaming import watching
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema: T.StructType = tables.table(spark, sf_dir, "events").schema
-    raw = watching.read_events(spark, sf_dir, schema, "events.parquet")
+    raw = watching.read_events(spark, f"{sf_dir}/events.parquet", schema)
     return raw.select("event_id", F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.sha2("props", 256).alias("hash"))
 
 
@@ -25,3 +25,10 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id AS path FROM (SELECT *, lag(sha256(props)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> sha256(props)")
 def stream_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watching.drained(watching.changed(_events(spark, sf_dir)))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id AS path, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counters of a day's events by path."""
+    counts = watching.drained(watching.windowed_counts(_events(spark, sf_dir)), "complete")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "path", "n")

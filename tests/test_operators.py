@@ -182,10 +182,54 @@ def test_watch_filters(spark):
     assert ids(rows, "path") == ["test.md", "test.rs"]
 
 
+def test_file_changes(spark):
+    import datetime as dt
+
+    t = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    rows = [
+        (1, "a", "modify", t(1), "x", 5), (2, "a", "modify", t(2), "y", 5), (3, "a", "modify", t(3), "y", 5), (4, "a", "create", t(4), "y", 5),
+        (5, "big", "create", t(1), "p", 2**30), (6, "big", "modify", t(2), "q", 2**30), (7, "a", "delete", t(5), None, None), (8, "new", "modify", t(1), "z", 1),
+    ]
+    events = spark.createDataFrame(rows, "event_id long, path string, kind string, ts timestamp, hash string, length long")
+    scanned = spark.createDataFrame([("a", "x", 5)], "path string, hash string, length long")
+    assert ids(watch.file_changes(events), "event_id") == [1, 2, 4, 5, 7, 8]
+    assert ids(watch.file_changes(events, scanned), "event_id") == [2, 4, 5, 7, 8]
+
+
+def stream_of(spark, rows, folder, parts=4):
+    for part in range(parts):
+        rows.where((F.col("event_id") >= part * 10) & (F.col("event_id") < part * 10 + 10)).coalesce(1).write.mode("append").parquet(folder)
+    return watching.read_events(spark, folder, watching.EVENT, per_trigger=1)
+
+
 def test_streams_keep_state_between_batches(spark, tmp_path):
-    rows = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("path"), F.timestamp_seconds(F.col("id") * 1000 + (F.col("id") % 7) * 900).alias("ts"), F.sha2((F.col("id") / 5).cast("int").cast("string"), 256).alias("hash"))
-    for part in range(4):
-        rows.where((F.col("event_id") >= part * 10) & (F.col("event_id") < part * 10 + 10)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = watching.read_events(spark, str(tmp_path / "in"), watching.EVENT, per_trigger=1)
-    for live, batch in ((watching.debounced(stream, 2_500_000_000), watch.debounced(rows, 2_500_000_000)), (watching.changed(stream), watch.changed(rows))):
+    rows = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("path"), F.timestamp_seconds(F.col("id") * 1000 + (F.col("id") % 7) * 100).alias("ts"), F.sha2((F.col("id") / 5).cast("int").cast("string"), 256).alias("hash"))
+    stream = stream_of(spark, rows, str(tmp_path / "in"))
+    for live, batch in ((watching.debounced(stream, 2_950_000_000), watch.debounced(rows, 2_950_000_000)), (watching.changed(stream), watch.changed(rows))):
         assert ids(watching.drained(live), "event_id") == ids(batch, "event_id")
+
+
+def test_streams_of_odd_events(spark, tmp_path):
+    """Events before 1970 and without time or hash, and a state that is forgotten."""
+    rows = [(0, 1, -86400, "a"), (1, 1, -80000, "a"), (2, 1, None, "b"), (3, 1, None, "b"), (4, 1, 0, "b"), (5, 2, 1, None), (6, 2, 2, None), (7, 2, 3, "c")]
+    odd = spark.createDataFrame(rows, "event_id long, path long, s long, hash string").select("event_id", "path", F.timestamp_seconds("s").alias("ts"), "hash")
+    stream = stream_of(spark, odd, str(tmp_path / "odd"), 1)
+    for live, batch, want in (
+        (watching.debounced(stream, 3_600_000_000), watch.debounced(odd, 3_600_000_000), [0, 1, 2, 3, 4, 5]),
+        (watching.changed(stream), watch.changed(odd), [0, 2, 3, 4, 5, 7]),
+    ):
+        assert ids(watching.drained(live), "event_id") == ids(batch, "event_id") == want
+    late = spark.createDataFrame([(0, 1, 0), (10, 2, 90_000), (20, 2, 200_000), (30, 1, 200_001)], "event_id long, path long, s long").select("event_id", "path", F.timestamp_seconds("s").alias("ts"), F.lit("same").alias("hash"))
+    again = stream_of(spark, late, str(tmp_path / "late"))
+    assert ids(watching.drained(watching.changed(again, "30 days")), "event_id") == [0, 10]
+    assert ids(watching.drained(watching.changed(again, "12 hours")), "event_id") == [0, 10, 30]
+
+
+def test_upserts_and_counters_of_a_stream(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("path"), F.timestamp_seconds(1704067200 + F.col("id") * 10_000).alias("ts"), F.lit("h").alias("hash"))
+    stream = stream_of(spark, rows, str(tmp_path / "in"))
+    run = stream.writeStream.foreachBatch(watching.upsert_to(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert {r.path: r.event_id for r in watching.upserted(spark, str(tmp_path / "out")).collect()} == {0: 39, 1: 37, 2: 38}
+    counted = watching.drained(watching.windowed_counts(stream), "complete")
+    assert counted.agg(F.sum("n")).first()[0] == 40 and counted.count() == rows.select(F.to_date("ts"), "path").distinct().count()
