@@ -7,13 +7,13 @@ equal decisions and rows that share only an id do not disturb each other.
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import cut, shared_folder
+
+__all__ = ["ID", "TH", "cut", "keyed", "same_doc", "shared_folder", "table", "with_columns_of"]
+
 ID, TH = "__doc", "__text_hash"
 
 
@@ -21,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it.
-
-    Unlike a checkpoint the table is compressed and has its true size as statistics, so later
-    joins are planned well and iterations do not multiply estimates.
-    """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with its identity columns: the id as `__doc` and a hash of the text."""
     return docs.withColumns({ID: F.col(doc_id).cast("long"), TH: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
