@@ -6,20 +6,33 @@ sentence chunker are expressions; that one is a running fold over each text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import strip, utf8_prefix
 from lodestone.functions.vector import cosine, norm
+from lodestone.operators.vectors import blocks, ranked
 
 SIZE, OVERLAP, LEAST = 512, 64, 32
 
 
 def fixed_pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
-    """Array of (char_offset, content) windows, trimmed; those of fewer bytes than `least` are dropped."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(max(1, size - overlap))), lambda s: s < F.length(text))
-    pieces = F.transform(starts, lambda s: F.struct(s.cast("bigint").alias("char_offset"), strip(F.substring(text, s + 1, F.lit(size))).alias("content")))
-    return F.filter(pieces, lambda p: F.octet_length(p["content"]) >= least)
+    """Array of (char_offset, content) windows, trimmed; those of fewer bytes than `least` are dropped.
+
+    The text is cut into blocks of one step in one pass; a window is its block and the beginning
+    of those after it, so the work is linear in the text.
+    """
+    step = max(1, size - overlap)
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{step}}})"), 1)
+    pieces = blocks
+    for ahead in range(1, -(-size // step)):
+        room = min(step, size - ahead * step)
+        pieces = F.zip_with(pieces, F.slice(blocks, ahead + 1, F.greatest(F.size(blocks), F.lit(1))), lambda x, y: F.when(x.isNotNull(), F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, room))))  # noqa: B023
+    placed = F.transform(pieces, lambda p, i: F.struct((i * step).cast("bigint").alias("char_offset"), strip(F.substring(p, 1, size)).alias("content")))
+    return F.filter(placed, lambda p: F.octet_length(p["content"]) >= least)
 
 
 def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
@@ -29,42 +42,38 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int
 
 
 def paragraphs(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """Texts split at blank lines; long paragraphs are cut again. Offsets are in bytes, those of cuts added in characters."""
-    parts = F.split("body", "\n\n")
-    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i), F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x) + 2))
-    each = docs.select("id", F.posexplode(F.arrays_zip(parts.alias("part"), ends.alias("begin"))).alias("ordinal", "p"))
-    each = each.select("id", F.col("ordinal").cast("bigint").alias("ordinal"), strip(F.col("p.part")).alias("content"), F.col("p.begin").alias("begin")).where(F.octet_length("content") >= least)
+    """Texts split at blank lines; long paragraphs are cut again. Offsets are in bytes, those of cuts added in characters.
+
+    Offsets and numbers are running sums over a document's paragraphs, in one shuffle by document.
+    """
+    before = W.partitionBy("id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
+    parts = docs.select("id", F.posexplode(F.split("body", "\n\n")).alias("ordinal", "part"))
+    begin = F.coalesce(F.sum(F.octet_length("part") + 2).over(before), F.lit(0))
+    each = parts.select("id", F.col("ordinal").cast("bigint").alias("ordinal"), strip(F.col("part")).alias("content"), begin.cast("bigint").alias("begin")).where(F.octet_length("content") >= least)
     long = F.octet_length("content") > 2 * size
     cuts = F.when(long, F.transform(fixed_pieces(F.col("content"), size, overlap, least), lambda c: F.struct((c["char_offset"] + F.col("begin")).alias("char_offset"), c["content"].alias("content"), F.lit(True).alias("sub"))))
     whole = F.array(F.struct(F.col("begin").alias("char_offset"), F.col("content").alias("content"), F.lit(False).alias("sub")))
-    chunk = each.select("id", "ordinal", F.explode(F.coalesce(cuts, whole)).alias("c"))
-    rows = chunk.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "c.char_offset", "c.content", "c.sub"))).alias("rows"))
-    out = rows.select("id", F.posexplode("rows").alias("n", "r"))
-    index = F.when(F.col("r.sub"), F.col("n").cast("bigint")).otherwise(F.col("r.ordinal"))
-    return out.select("id", index.alias("chunk_index"), F.col("r.char_offset").alias("char_offset"), F.col("r.content").alias("content"))
+    chunk = each.select("id", "ordinal", F.explode(F.coalesce(cuts, whole)).alias("c")).select("id", "ordinal", "c.*")
+    n = F.row_number().over(W.partitionBy("id").orderBy("ordinal", "char_offset")) - 1
+    index = F.when(F.col("sub"), n.cast("bigint")).otherwise(F.col("ordinal"))
+    return chunk.select("id", index.alias("chunk_index"), "char_offset", "content")
 
 
 def sections(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """Texts split at lines that begin with `#`: `id`, `section`, `char_offset` (bytes), `content`; long ones are cut again."""
-    lines = F.split(F.regexp_replace("body", "\n$", ""), "\n")
-    folded = F.aggregate(
-        lines,
-        F.struct(F.array().cast("array<struct<section:string,begin:bigint,content:string>>").alias("done"), F.lit(None).cast("string").alias("section"), F.lit(0).cast("bigint").alias("begin"), F.lit("").alias("content"), F.lit(0).cast("bigint").alias("at")),
-        lambda a, line: F.when(
-            strip(line).startswith("#"),
-            F.struct(
-                F.concat(a["done"], F.array(F.struct(a["section"].alias("section"), a["begin"].alias("begin"), a["content"].alias("content")))).alias("done"),
-                strip(F.regexp_replace(strip(line), "^#+", "")).alias("section"),
-                a["at"].alias("begin"),
-                F.lit("").alias("content"),
-                (a["at"] + F.octet_length(line) + 1).alias("at"),
-            ),
-        ).otherwise(
-            F.struct(a["done"].alias("done"), a["section"].alias("section"), a["begin"].alias("begin"), F.concat(a["content"], line, F.lit("\n")).alias("content"), (a["at"] + F.octet_length(line) + 1).alias("at"))
-        ),
-    )
-    closed = docs.select("id", folded.alias("f")).select("id", F.explode(F.concat("f.done", F.array(F.struct(F.col("f.section").alias("section"), F.col("f.begin").alias("begin"), F.col("f.content").alias("content"))))).alias("s"))
-    kept = closed.select("id", "s.*").where(F.octet_length(strip(F.col("content"))) >= least)
+    """Texts split at lines that begin with `#`: `id`, `section`, `char_offset` (bytes), `content`; long ones are cut again.
+
+    Headings are counted over a document's lines and each section gathers its own lines once.
+    """
+    upto = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    lines = docs.select("id", F.posexplode(F.split(F.regexp_replace("body", "\n$", ""), "\n")).alias("pos", "line"))
+    headed = lines.withColumn("heading", strip(F.col("line")).startswith("#"))
+    placed = headed.select("*", F.sum(F.col("heading").cast("int")).over(upto).alias("nth"), F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("bigint").alias("at"))
+    own = F.sort_array(F.collect_list(F.when(~F.col("heading"), F.struct("pos", "line"))))
+    name = F.max(F.when(F.col("heading"), strip(F.regexp_replace(strip(F.col("line")), "^#+", ""))))
+    gathered = placed.groupBy("id", "nth").agg(name.alias("section"), F.min("at").alias("begin"), own.alias("own"))
+    content = F.array_join(F.transform("own", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    kept = gathered.select("id", "section", "begin", content.alias("content")).where(F.octet_length(strip(F.col("content"))) >= least)
     long = F.octet_length("content") > 2 * size
     cuts = F.when(long, F.transform(fixed_pieces(F.col("content"), size, overlap, least), lambda c: F.struct((c["char_offset"] + F.col("begin")).alias("char_offset"), c["content"].alias("content"))))
     whole = F.array(F.struct(F.col("begin").alias("char_offset"), strip(F.col("content")).alias("content")))
@@ -101,12 +110,14 @@ STRATEGIES = {"fixed": fixed, "paragraph": paragraphs, "sentence": sentences, "m
 
 
 def pair_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """`qid`, `doc`, `chunk`, `score` of every chunk vector for a small, broadcast set of query vectors."""
-    if queries.count() > 4096:
-        raise ValueError("score queries in sets of at most 4096")
-    asked = F.broadcast(queries.select("qid", "q", norm(F.col("q")).alias("q_norm")))
-    score = cosine(F.col("v"), F.col("q"), norm(F.col("v")), F.col("q_norm"))
-    return chunks.join(asked).select("qid", "doc", "chunk", score.alias("score"))
+    """`qid`, `doc`, `chunk`, `score` of every chunk vector for query vectors, in blocks of bounded size."""
+    stored, out = chunks.withColumn("norm", norm(F.col("v"))), None
+    for part in blocks(queries):
+        asked = F.broadcast(part.select("qid", "q", norm(F.col("q")).alias("q_norm")))
+        score = cosine(F.col("v"), F.col("q"), F.col("norm"), F.col("q_norm"))
+        found = stored.join(asked).select("qid", "doc", "chunk", score.alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def max_sim(pairs: DataFrame) -> DataFrame:
@@ -118,3 +129,31 @@ def max_sim(pairs: DataFrame) -> DataFrame:
 def late_interaction(pairs: DataFrame) -> DataFrame:
     """`doc`, `score`: the mean over the queries of the best chunk's similarity."""
     return max_sim(pairs).groupBy("doc").agg(F.avg("score").alias("score"))
+
+
+#: Bytes of a text that an embedding model is given.
+EMBEDDED = 6000
+
+
+def embedded(docs: DataFrame, strategy: str, embed: Callable[[DataFrame, str, int], DataFrame], dims: int, **how) -> DataFrame:
+    """`doc`, `chunk`, `content`, `v`: each document's chunks with their vectors; embed takes rows with `id` and a text column.
+
+    Texts are cut to EMBEDDED bytes at a character's end. Empty documents have no chunks.
+    """
+    pieces = STRATEGIES[strategy](docs, **how).withColumnRenamed("id", "doc")
+    if "chunk_index" not in pieces.columns:
+        pieces = pieces.withColumn("chunk_index", F.row_number().over(W.partitionBy("doc").orderBy("char_offset")).cast("bigint") - 1)
+    named = pieces.select("doc", F.col("chunk_index").alias("chunk"), "content").withColumn("id", F.sha2(F.concat_ws("/", "doc", "chunk", "content"), 256))
+    vectors = embed(named.select("id", utf8_prefix(F.col("content"), EMBEDDED).alias("text")).dropDuplicates(["id"]), "text", dims)
+    return named.join(vectors, "id").select("doc", "chunk", "content", "v")
+
+
+def rank_documents(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """`qid`, `doc`, `score`, `best_chunk`, `rank`: the k documents whose best chunk is nearest each query, ties to the smaller id."""
+    best = max_sim(pair_scores(chunks, queries)).withColumn("score", F.round("score", 6)).withColumnRenamed("doc", "id")
+    return ranked(best, k, F.desc("score")).withColumnRenamed("id", "doc").select("qid", "doc", "score", "best_chunk", "rank")
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """`doc`, `n`: chunks of each document."""
+    return chunks.groupBy("doc").agg(F.count("*").alias("n"))

@@ -1,12 +1,17 @@
 """Full-text search: BM25 over postings.
 
-A query is a table (`qid`, `term`) or a set of clauses (must, should, must_not, phrase). Terms
-join postings, so only matching postings are shuffled and scored; the corpus statistics are
-two numbers and one row for each term.
+A query is a table (`qid`, `term`) or a clause: terms, phrases, ranges and tags of a field, put
+together with `all_of`, `any_of` and `none_of`, each with a boost of its own. Terms join postings,
+so only matching postings are shuffled and scored; the corpus statistics are two numbers and one
+row for each term. Postings can be stored (`stored_postings`): a search then reads its terms'
+partitions alone and no text.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,15 +49,54 @@ def matching(indexed: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(asked, "term", "left_semi").groupBy("id", "field", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:
-    """`qid`, `id`, `score`: all matches of each query; fields' scores add up."""
-    found = matching(indexed, queries)
+def bm25_of(found: DataFrame, statistics: DataFrame, queries: DataFrame) -> DataFrame:
+    """`qid`, `id`, `score` from the postings of the asked terms and the fields' statistics; fields' scores add up.
+
+    Queries may have a `weight` for each term. Statistics have one row a field, so they are broadcast.
+    """
+    asked = queries.select("qid", "term", (F.col("weight") if "weight" in queries.columns else F.lit(1.0)).alias("weight"))
+    asked = asked.groupBy("qid", "term").agg(F.max("weight").alias("weight"))
     frequency = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weights = frequency.join(F.broadcast(statistics(indexed)), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weights = frequency.join(F.broadcast(statistics), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf, dl = F.col("tf"), F.col("dl")
     score = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     scored = found.join(weights, ["field", "term"]).select("id", "term", score.alias("part"))
-    return scored.join(queries.select("qid", "term").distinct(), "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    return scored.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+
+
+def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:
+    """`qid`, `id`, `score`: all matches of each query in texts that are tokenised now."""
+    return bm25_of(matching(indexed, queries), statistics(indexed), queries)
+
+
+#: Partitions that stored postings are dealt to by term.
+BUCKETS = 64
+STORED = "id string, field string, term string, dl int, tf bigint, positions array<int>, bucket int"
+LENGTHS = "id string, field string, dl int"
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def stored_postings(indexed: DataFrame) -> DataFrame:
+    """Postings with the `bucket` of their term, sorted for writing: few row groups hold a term."""
+    return postings(indexed).withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term")
+
+
+def lengths(indexed: DataFrame) -> DataFrame:
+    """`id`, `field`, `dl`: what field statistics are made of."""
+    return indexed.select("id", "field", F.size("tokens").alias("dl"))
+
+
+def statistics_of(lengths_of: DataFrame) -> DataFrame:
+    return lengths_of.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def term_filter(terms: list[str]) -> str:
+    """A condition on stored postings that reaches the scan."""
+    quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+    return f"term IN ({quoted})" if terms else "false"
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -81,3 +125,72 @@ def phrase(indexed: DataFrame, words: tuple[str, ...], field: str = "body") -> D
     starts = F.filter(ends, lambda i: F.slice("tokens", i, F.lit(len(words))) == wanted)
     long_enough = indexed.where((F.col("field") == field) & (F.size("tokens") >= len(words)) & F.array_contains("tokens", words[0]))
     return long_enough.select("id", F.size(starts).cast("bigint").alias("n")).where("n > 0")
+
+
+class Clause:
+    """A query over tokenised fields: which documents match (`holds`), and its terms with their weights.
+
+    `holds(fields)` gives a condition over columns that hold each field's tokens.
+    """
+
+    def __init__(self, holds, terms: dict[str, float]):
+        self.holds, self.terms = holds, terms
+
+    def boosted(self, factor: float) -> Clause:
+        return Clause(self.holds, {t: w * factor for t, w in self.terms.items()})
+
+
+def _union(clauses: tuple[Clause, ...]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for c in clauses:
+        for t, w in c.terms.items():
+            out[t] = max(w, out.get(t, w))
+    return out
+
+
+def word(term: str, field: str = "body") -> Clause:
+    """A term of a field."""
+    return Clause(lambda fields: F.array_contains(fields[field], term.lower()), {term.lower(): 1.0})
+
+
+def words_in_turn(text: str, field: str = "body") -> Clause:
+    """A phrase, or a tag of several words."""
+    parts = re.findall(r"[^\W_]+", text.lower())
+    wanted = F.array(*map(F.lit, parts))
+    n = len(parts)
+
+    def holds(fields: dict[str, Column]) -> Column:
+        tokens_of = fields[field]
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens_of) - n + 1, F.lit(1)))
+        return F.array_contains(tokens_of, parts[0]) & F.exists(starts, lambda i: F.slice(tokens_of, i, F.lit(n)) == wanted) if parts else F.lit(False)
+
+    return Clause(holds, dict.fromkeys(parts, 1.0))
+
+
+def between(low: str, high: str, field: str = "body") -> Clause:
+    """Some term of a field from low to high, both included."""
+    return Clause(lambda fields: F.exists(fields[field], lambda t: t.between(low, high)), {})
+
+
+def all_of(*clauses: Clause) -> Clause:
+    return Clause(lambda fields: functools.reduce(lambda a, c: a & c.holds(fields), clauses, F.lit(True)), _union(clauses))
+
+
+def any_of(*clauses: Clause) -> Clause:
+    return Clause(lambda fields: functools.reduce(lambda a, c: a | c.holds(fields), clauses, F.lit(False)), _union(clauses))
+
+
+def none_of(*clauses: Clause) -> Clause:
+    return Clause(lambda fields: ~any_of(*clauses).holds(fields), {})
+
+
+def search(indexed: DataFrame, clause: Clause, k: int, qid: int = 0) -> DataFrame:
+    """The k best documents that match a clause, scored by its terms: `qid`, `id`, `score`, `rank`."""
+    names = ("body", "tags")
+    by_field = indexed.groupBy("id").agg(*[F.max(F.when(F.col("field") == n, F.col("tokens"))).alias(n) for n in names])
+    fields = {n: F.coalesce(F.col(n), F.array().cast("array<string>")) for n in names}
+    matched = by_field.where(clause.holds(fields)).select("id")
+    terms = indexed.sparkSession.createDataFrame([(qid, t, float(w)) for t, w in clause.terms.items()], "qid bigint, term string, weight double")
+    scored = bm25(indexed, terms)
+    joined = matched.join(scored, "id", "left").select(F.lit(qid).cast("bigint").alias("qid"), "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return top(joined, k)

@@ -1,12 +1,20 @@
-"""Graph traversal over an edge table, as joins. Each hop is a join and is checkpointed."""
+"""Graph traversal over an edge table, as joins.
+
+Links are made once, dealt by where they begin and written to the shared folder; each hop joins the
+frontier to them. An ordered depth-first walk is given as its set, which is `bfs` within the depth.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.session import cut
 
+#: Rounds of a walk after which its lineage is cut, and seed sets whose sums are broadcast.
+EVERY, FEW = 5, 100_000
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("from"), F.col("target").alias("to")).union(edges.select(F.col("target"), F.col("source"))).distinct()
@@ -14,7 +22,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """`seed`, `id`, `depth`: everything within so many undirected hops of each seed; seeds: (`seed`)."""
-    links = both_ways(edges)
+    links = cut(both_ways(edges).repartition("from"))
     seen = frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).cast("bigint").alias("depth"))
     for hop in range(1, depth + 1):
         reached = frontier.join(links, frontier["id"] == links["from"]).select("seed", F.col("to").alias("id")).distinct()
@@ -35,7 +43,7 @@ def subgraph_edges(edges: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     """`from_id`, `to_id`, `path`, `hops`: the shortest undirected path, the least one on ties; pairs: (`from_id`, `to_id`)."""
-    links = both_ways(edges)
+    links = cut(both_ways(edges).repartition("from"))
     reached = frontier = pairs.select("from_id").distinct().select("from_id", F.col("from_id").alias("id"), F.array("from_id").alias("path"))
     for _ in range(max_depth):
         onward = frontier.join(links, frontier["id"] == links["from"]).select("from_id", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"))
@@ -58,9 +66,18 @@ def pagerank(edges: DataFrame, seeds: DataFrame, walk_prob: float = 0.15, iterat
     steps = cut(edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("p")))
     scores = share.withColumnRenamed("share", "score")
     back = share.select("seed_set", "id", (F.col("share") * (1 - walk_prob)).alias("score"))
-    for _ in range(iterations):
+    few = seeds.select("seed_set").distinct().limit(FEW + 1).count() <= FEW
+    for done in range(iterations):
         walked = scores.join(steps, scores["id"] == steps["source"]).select("seed_set", F.col("target").alias("id"), (F.col("score") * F.col("p") * walk_prob).alias("score"))
         summed = walked.unionByName(back).groupBy("seed_set", "id").agg(F.sum("score").alias("score"))
         total = summed.groupBy("seed_set").agg(F.sum("score").alias("sum"))
-        scores = cut(summed.join(total, "seed_set").select("seed_set", "id", (F.col("score") / F.col("sum")).alias("score")))
+        scores = summed.join(F.broadcast(total) if few else total, "seed_set").select("seed_set", "id", (F.col("score") / F.col("sum")).alias("score"))
+        scores = cut(scores) if (done + 1) % EVERY == 0 else scores
     return scores
+
+
+def ranked_near(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """`qid`, `id`, `rank`: what lies near the seeds (`qid`, `seed`, `seed_rank`), by seed's rank, depth and id, each node once."""
+    near = bfs(edges, seeds.select("seed").distinct(), hops).join(seeds, "seed")
+    first = near.groupBy("qid", "id").agg(F.min(F.struct("seed_rank", "depth")).alias("at"))
+    return first.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("at", "id")).cast("bigint")).select("qid", "id", "rank")

@@ -1,17 +1,23 @@
 """Vector search: exact cosine, sign codes with Hamming distance, two-stage rescoring, recall.
 
-Queries are a table. For a few queries (their number is checked) they are broadcast, each
-vector is read once and a window keeps the k best of each query per partition before the
-shuffle; larger query sets go over the vectors in blocks.
+Queries are a table. They go over the vectors in broadcast blocks of at most BLOCK; each
+vector is read once a block, and only the k best of each query and task are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.functions.vector import cosine, hamming, norm, sign_code
+from lodestone.functions.vector import cosine, hamming, norm, normalized, sign_code
 
 #: Queries of one broadcast.
 BLOCK = 4096
@@ -49,16 +55,68 @@ def blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(2 * parts)) == i) for i in range(2 * parts)]
 
 
+def scored(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """`qid`, `id`, `score` of every vector for a few queries; no ranking, so no shuffle."""
+    asked = F.broadcast(query.select("qid", "q", norm(F.col("q")).alias("q_norm")))
+    score = F.round(cosine(F.col("v"), F.col("q"), F.col("norm"), F.col("q_norm")), 6)
+    return with_norm(vectors).select("id", "v", "norm").join(asked).select("qid", "id", score.alias("score"))
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to smaller ids."""
+    if len(scores) > 4 * k:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((ids[some], -scores[some]))][:k]
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """`qid`, `id`, `score`, `rank`: cosine top-k of each query (`qid`, `q`); zero norms score 0."""
-    stored = with_norm(vectors).select("id", "v", "norm")
+    """`qid`, `id`, `score`, `rank`: cosine top-k of each query (`qid`, `q`); zero norms score 0.
+
+    Queries go in broadcast blocks; a task multiplies its vectors with a block as matrices and sends
+    on the k best of each query, so what is shuffled does not grow with the vectors. Vectors of
+    another length than a query's do not meet it.
+    """
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     out = None
     for part in blocks(queries):
-        asked = F.broadcast(part.select("qid", "q", norm(F.col("q")).alias("q_norm")))
-        score = F.round(cosine(F.col("v"), F.col("q"), F.col("norm"), F.col("q_norm")), 6)
-        found = ranked(stored.join(asked).select("qid", "id", score.alias("score")), k, F.desc("score"))
+        asked = part.select("qid", "q").where("q IS NOT NULL").collect()  # at most BLOCK rows
+        shared = vectors.sparkSession.sparkContext.broadcast([(r["qid"], np.array(r["q"], float)) for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            sides = {}
+            for place, (_, q) in enumerate(shared.value):
+                sides.setdefault(len(q), []).append(place)
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    rows = batch.slice(at, 1024)
+                    dims = np.asarray(pc.fill_null(pc.list_value_length(rows.column(1)), -1))
+                    for size, places in sides.items():
+                        mine = np.flatnonzero(dims == size)
+                        if not len(mine):
+                            continue
+                        chosen = rows.take(pa.array(mine))
+                        ids = np.array(chosen.column(0).to_pylist(), object)
+                        v = chosen.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(mine), size)
+                        q = np.array([shared.value[p][1] for p in places])
+                        length = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+                        scores = np.where(length < 1e-10, 0.0, (q @ v.T) / np.maximum(length, 1e-300)).round(6) + 0.0
+                        for row, place in zip(scores, places):
+                            old = best.get(place)
+                            if old is not None and len(old[0]) == k and row.max() < old[0][-1]:
+                                continue
+                            all_scores, all_ids = (row, ids) if old is None else (np.concatenate([old[0], row]), np.concatenate([old[1], ids]))
+                            top = best_of(all_scores, all_ids, k)
+                            best[place] = all_scores[top], all_ids[top]
+            for place, (found, ids) in best.items():
+                columns = [pa.array([shared.value[place][0]] * len(ids)), pa.array(ids.tolist()), pa.array(found, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score"])
+
+        found = vectors.select("id", "v").where("id IS NOT NULL").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return ranked(out, k, F.desc("score"))
 
 
 def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -77,7 +135,7 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def rescored_top_k(vectors: DataFrame, queries: DataFrame, k: int, factor: int = 20, candidates: int | None = None) -> DataFrame:
     """Hamming candidates (k * factor, or a number of their own), then exact cosine among them."""
     near = hamming_top_k(vectors, queries, candidates or k * factor).select("qid", "id")
-    pairs = near.join(with_norm(vectors).select("id", "v", "norm"), "id").join(F.broadcast(queries.limit(BLOCK)) if queries.count() <= BLOCK else queries, "qid")
+    pairs = near.join(with_norm(vectors).select("id", "v", "norm"), "id").join(queries.select("qid", "q"), "qid")
     score = F.round(cosine(F.col("v"), F.col("q"), F.col("norm"), norm(F.col("q"))), 6)
     return ranked(pairs.select("qid", "id", score.alias("score")), k, F.desc("score"))
 
@@ -100,13 +158,34 @@ def index_sizes(vectors: DataFrame) -> DataFrame:
     )
 
 
-def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 6) -> DataFrame:
-    """Approximate top-k: candidates share `bits` sign bits with the query in one of `tables` bands of the code."""
-    def bands(code: Column) -> Column:
-        return F.array(*[F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(code, (t * bits) % 59).bitwiseAND(F.lit((1 << bits) - 1)).alias("b")) for t in range(tables)])
+def cell_of(v: Column, centres: Column) -> Column:
+    """Number of the nearest of several centres (unit vectors)."""
+    dot = lambda c: F.aggregate(F.zip_with(v, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.array_max(F.transform(centres, lambda c, i: F.struct(dot(c).alias("near"), (-i).alias("minus"))))["minus"] * -1
 
-    stored = with_norm(with_code(vectors)).withColumn("band", F.explode(bands(F.col("code")[0])))
-    asked = queries.withColumn("band", F.explode(bands(sign_code(F.col("q"))[0])))
-    pairs = stored.join(asked, "band").select("qid", "id", "v", "norm", "q").dropDuplicates(["qid", "id"])
-    score = F.round(cosine(F.col("v"), F.col("q"), F.col("norm"), norm(F.col("q"))), 6)
-    return ranked(pairs.select("qid", "id", score.alias("score")), k, F.desc("score"))
+
+def ivf_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, share: float = 0.72) -> DataFrame:
+    """Approximate top-k: every vector lies in the cell of its nearest centre, a query looks into its nearest `share` of the cells.
+
+    Centres are a bounded sample (`cells` vectors, by hash); every vector is indexed. Where
+    vectors have no structure, recall is little more than the share; where they have, a smaller
+    share does. Queries meet vectors by cell, in blocks of bounded size.
+    """
+    stored = with_norm(vectors).where("norm > 0")
+    chosen = stored.orderBy(F.xxhash64("id"), "id").limit(cells).select(normalized(F.col("v")).alias("c"))
+    centres = F.broadcast(chosen.agg(F.collect_list("c").alias("centres")))
+    placed = stored.join(centres).select("id", "v", "norm", cell_of(F.col("v"), F.col("centres")).alias("cell"))
+    out = None
+    for part in blocks(queries):
+        near = F.slice(F.sort_array(F.transform("centres", lambda c, i: F.struct(F.aggregate(F.zip_with("q", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("near"), i.alias("cell"))), False), 1, max(1, round(share * cells)))
+        asked = part.join(centres).select("qid", "q", F.explode(near).alias("n")).select("qid", "q", F.col("n.cell").alias("cell"))
+        score = F.round(cosine(F.col("v"), F.col("q"), F.col("norm"), norm(F.col("q"))), 6)
+        found = placed.join(F.broadcast(asked), "cell").select("qid", "id", score.alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, k, F.desc("score"))
+
+
+def distances(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """`qid`, `id`, `distance`: Hamming distances of all sign codes to a few queries; no ranking."""
+    asked = F.broadcast(query.select("qid", sign_code(F.col("q")).alias("q_code")))
+    return with_code(vectors).join(asked).select("qid", "id", hamming(F.col("code"), F.col("q_code")).alias("distance"))

@@ -42,6 +42,40 @@ def within_capacity(members: DataFrame, workspaces: DataFrame) -> DataFrame:
     return placed.where((F.col("max_nodes") == 0) | (F.col("place") <= F.col("max_nodes"))).drop("place", "max_nodes")
 
 
+def created(workspaces: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """workspaces with new ones (`ws_id`, `name` and what is not to be the default)."""
+    given = {"parent": F.lit(None).cast("string"), "allow_shared_reads": F.lit(True), "allow_promotion": F.lit(True), "max_nodes": F.lit(10_000), "tags": F.array().cast("array<string>"), "last_accessed": now}
+    for name, value in given.items():
+        if name not in new.columns:
+            new = new.withColumn(name, value)
+    return workspaces.unionByName(new.select(*workspaces.columns))
+
+
+def added(members: DataFrame, workspaces: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Members with new ones (`ws_id`, `node_id`, `access`, `group_id`), and for each new one whether it was taken (`ok`).
+
+    Taken in order of the node's id up to the workspace's capacity (0: any number); a node that is
+    there already takes its new access, but only where there is room, as for any other. Nodes of
+    unknown workspaces are not taken.
+    """
+    held = members.groupBy("ws_id").agg(F.count("*").alias("held"))
+    once = new.dropDuplicates(["ws_id", "node_id"])
+    w = W.partitionBy("ws_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
+    old = members.select("ws_id", "node_id", F.lit(True).alias("again"))
+    known = once.join(workspaces.select("ws_id", "max_nodes"), "ws_id", "left").join(held, "ws_id", "left").join(old, ["ws_id", "node_id"], "left")
+    known = known.withColumn("again", F.coalesce("again", F.lit(False))).withColumn("held", F.coalesce("held", F.lit(0)))
+    before = F.col("held") + F.coalesce(F.sum((~F.col("again")).cast("int")).over(w), F.lit(0))
+    decided = known.withColumn("ok", F.col("max_nodes").isNotNull() & ((F.col("max_nodes") == 0) | (before < F.col("max_nodes"))))
+    taken = decided.where("ok").withColumn("added_at", now).select(*members.columns)
+    kept = members.join(taken.select("ws_id", "node_id"), ["ws_id", "node_id"], "left_anti").select(*members.columns)
+    return kept.unionByName(taken), decided.select("ws_id", "node_id", "ok")
+
+
+def removed(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """Members without the gone ones (`ws_id`, `node_id`)."""
+    return members.join(gone.select("ws_id", "node_id"), ["ws_id", "node_id"], "left_anti")
+
+
 def promoted(members: DataFrame, workspaces: DataFrame, asked: DataFrame) -> DataFrame:
     """Members with the asked pairs made shared, where their workspace allows it."""
     may = asked.join(workspaces.where("allow_promotion").select("ws_id"), "ws_id", "left_semi").select("ws_id", "node_id", F.lit(True).alias("up"))

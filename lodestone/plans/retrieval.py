@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.vector import int8, norm, normalized
-from lodestone.operators import fts, fusion, vectors
+from lodestone.operators import fts, fusion, graph, vectors
 from lodestone.plans.registry import query
+from lodestone.session import cut, shared_folder
 from lodestone.sources import tables
 
 TERMS = ("the", "elle")
 K = 10
 
 NODES = """nodes AS (
-  SELECT doc_id::VARCHAR AS id, 'document' AS node_type, text AS body, ['lang:' || lang, 'project:' || source] AS tags,
+  SELECT doc_id::VARCHAR AS id, CASE WHEN lang = 'de' THEN 'fact' ELSE 'document' END AS node_type, text AS body, ['lang:' || lang, 'project:' || source] AS tags,
     coalesce(0.5 + 0.5 * quality - 0.25 * toxic, 1.0) AS confidence,
     TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS tx_time,
     CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE + INTERVAL 1 DAY END AS valid_time
@@ -62,11 +65,11 @@ def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {INDEXED}, queries AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark WHERE item_id < 20){BM25} {top_sql(5)}"
+    f"WITH {INDEXED}, queries AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark){BM25} {top_sql(5)}"
 )
 def fts_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text under 20 as a query of all its words."""
-    asked = tables.table(spark, sf_dir, "benchmark").where("item_id < 20")
+    """Every benchmark text as a query of all its words."""
+    asked = tables.table(spark, sf_dir, "benchmark")
     terms = asked.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("term"))
     return fts.top(fts.bm25(_indexed(spark, sf_dir), terms), 5)
 
@@ -89,13 +92,23 @@ def fts_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.boolean(_indexed(spark, sf_dir), must=("fr",), field="tags")
 
 
-@query(f"WITH {INDEXED}{TERM_QUERIES}{BM25} {top_sql(K)}")
+@query(f"WITH {INDEXED}{TERM_QUERIES}{BM25.replace('scored AS', 'every AS')}, scored AS (SELECT e.* FROM every e JOIN nodes n USING (id) WHERE node_type = 'document') {top_sql(K)}")
 def fts_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The type filters, it does not score; all nodes here are documents."""
+    """The type filters, it does not score."""
     typed = tables.nodes(spark, sf_dir).where("node_type = 'document'").select("id")
     return fts.top(fts.bm25(_indexed(spark, sf_dir), _terms(spark, *TERMS)).join(typed, "id", "left_semi"), K)
 
 
+@query(f"WITH {INDEXED}{TERM_QUERIES}{BM25} {top_sql(K)}")
+def fts_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over stored postings: the index is written, then only its terms' rows are read."""
+    indexed, folder = cut(_indexed(spark, sf_dir)), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    fts.stored_postings(indexed).write.parquet(f"{folder}/postings")
+    fts.lengths(indexed).write.parquet(f"{folder}/lengths")
+    found = spark.read.parquet(f"{folder}/postings").where(fts.term_filter(list(TERMS))).select("id", "field", "term", "dl", "tf")
+    return fts.top(fts.bm25_of(found, fts.statistics_of(spark.read.parquet(f"{folder}/lengths")), _terms(spark, *TERMS)), K)
+
+
 @query(f"WITH {INDEXED} SELECT field, count(*)::BIGINT AS n, round(avg(len(tokens)), 6) AS avgdl FROM indexed GROUP BY field")
 def fts_doc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.statistics(_indexed(spark, sf_dir)).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
@@ -111,7 +124,7 @@ def fts_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTORS = "vectors AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
-ASKED = ", asked AS (SELECT id AS qid, v AS q FROM vectors WHERE id::BIGINT < 20)"
+ASKED = ", asked AS (SELECT id AS qid, v AS q FROM vectors WHERE id::BIGINT % 100 = 0)"
 COSINE = "round(CASE WHEN sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)) < 1e-10 THEN 0 ELSE list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) END, 6)"
 
 
@@ -119,8 +132,9 @@ def ranked_sql(source: str, order: str, k: int, columns: str = "qid, id, score,
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}, id) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-def _asked(v: DataFrame, n: int = 20) -> DataFrame:
-    return v.where(F.col("id").cast("bigint") < n).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+def _asked(v: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 100, as a query."""
+    return v.where(F.col("id").cast("bigint") % 100 == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
 @query(f"WITH {VECTORS}, asked AS (SELECT id AS qid, v AS q FROM vectors WHERE id = '7'), s AS (SELECT qid, id, {COSINE} AS score FROM vectors, asked) {ranked_sql('s', 'score DESC', K)}")
@@ -152,8 +166,14 @@ def vec_zero_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors without length score 0, not null."""
     v = tables.vectors(spark, sf_dir)
     zeroed = v.withColumn("v", F.transform("v", lambda x: F.when(F.col("id").cast("bigint") % 5 == 0, 0.0).otherwise(x)))
-    everything = vectors.batch_top_k(zeroed, v.where("id = '3'").select(F.col("id").alias("qid"), F.col("v").alias("q")), 2**31 - 1)
-    return everything.select("id", "score")
+    return vectors.scored(zeroed, v.where("id = '3'").select(F.col("id").alias("qid"), F.col("v").alias("q"))).select("id", "score")
+
+
+@query(f"WITH {INDEXED}, t AS (SELECT id, tokens FROM indexed WHERE field = 'body' AND (list_contains(tokens, 'idiot') OR list_contains(tokens, 'moron')) AND NOT list_contains(tokens, 'clown')), queries AS (SELECT 0::BIGINT AS qid, 'idiot' AS term, 2.0 AS w UNION ALL SELECT 0, 'moron', 1.0), stats AS (SELECT field, count(*) AS n, avg(len(tokens)) AS avgdl FROM indexed GROUP BY field), found AS (SELECT id, field, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, field, len(tokens) AS dl, unnest(tokens) AS term FROM indexed) WHERE term IN (SELECT term FROM queries) GROUP BY id, field, term), weights AS (SELECT f.field, f.term, any_value(n) AS n, any_value(avgdl) AS avgdl, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM found f JOIN stats USING (field) GROUP BY f.field, f.term), every AS (SELECT qid, id, sum(w * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM found JOIN weights USING (field, term) JOIN queries q USING (term) GROUP BY qid, id), scored AS (SELECT e.* FROM every e JOIN t USING (id)) {top_sql(K)}")
+def fts_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(idiot^2 OR moron) AND NOT clown, scored."""
+    clause = fts.all_of(fts.any_of(fts.word("idiot").boosted(2.0), fts.word("moron")), fts.none_of(fts.word("clown")))
+    return fts.search(_indexed(spark, sf_dir), clause, K)
 
 
 @query(f"WITH {VECTORS} SELECT id, len(v)::INTEGER AS dims FROM vectors WHERE len(v) = 64")
@@ -163,7 +183,7 @@ def vec_dim_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CODE = "list_reduce(list_transform(v, lambda x, i: CASE WHEN x > 0 THEN (1::UBIGINT << (i - 1)::UBIGINT) ELSE 0::UBIGINT END), lambda a, b: a | b)"
 CODES = f"{VECTORS}, codes AS (SELECT id, v, len(v) AS dims, {CODE} AS code FROM vectors)"
-NEAR = ", asked AS (SELECT id AS qid, v AS q, code AS q_code FROM codes WHERE id::BIGINT < 20), near AS (SELECT qid, id, v, q, dims, bit_count(xor(code, q_code))::BIGINT AS distance FROM codes, asked)"
+NEAR = ", asked AS (SELECT id AS qid, v AS q, code AS q_code FROM codes WHERE id::BIGINT % 100 = 0), near AS (SELECT qid, id, v, q, dims, bit_count(xor(code, q_code))::BIGINT AS distance FROM codes, asked)"
 
 
 @query(f"WITH {CODES} SELECT id, bit_count(code)::BIGINT AS ones, (code & 65535)::BIGINT AS low FROM codes")
@@ -205,10 +225,17 @@ def int8_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(None)
-def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate: recall is tested against the exact search."""
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: recall is tested against the exact search (0.9 or more)."""
+    v = tables.vectors(spark, sf_dir)
+    return vectors.ivf_top_k(v, _asked(v), K)
+
+
+@query(f"WITH {CODES}, asked AS (SELECT id AS qid, code AS q_code FROM codes WHERE id = '7') SELECT qid, id, bit_count(xor(code, q_code))::BIGINT AS distance FROM codes, asked")
+def bin_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all codes to one query, without a ranking."""
     v = tables.vectors(spark, sf_dir)
-    return vectors.lsh_top_k(v, _asked(v), K)
+    return vectors.distances(v, v.where("id = '7'").select(F.col("id").alias("qid"), F.col("v").alias("q")))
 
 
 def _rankings(spark: SparkSession, sf_dir: str, k: int) -> list[DataFrame]:
@@ -273,5 +300,41 @@ def rerank_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tables.vectors(spark, sf_dir)
     fused = fusion.rrf(_rankings(spark, sf_dir, K))
     asked = v.where("id = '7'").select(F.lit(0).cast("bigint").alias("qid"), F.col("v").alias("q"))
-    near = vectors.batch_top_k(v.join(fused.select("id").distinct(), "id", "left_semi"), asked, 2**31 - 1)
+    near = vectors.scored(v.join(fused.select("id").distinct(), "id", "left_semi"), asked)
     return fusion.reranked(fused, near, 20, K)
+
+
+GRAPH = f"""{{VECTORS}}, asked AS (SELECT 0::BIGINT AS qid, v AS q FROM vectors WHERE id = '7'), s AS (SELECT qid, id, {{COSINE}} AS score FROM vectors, asked),
+  seeds AS (SELECT id AS seed, rank AS seed_rank FROM ({{ranked_sql('s', 'score DESC', 3)}})),
+  links AS (SELECT DISTINCT * FROM (SELECT conv_id::VARCHAR AS a, (turn + 1000)::VARCHAR AS b FROM conversations UNION ALL SELECT (turn + 1000)::VARCHAR, conv_id::VARCHAR FROM conversations)),
+  reach(seed, id, depth) AS (SELECT seed, seed, 0::BIGINT FROM seeds UNION SELECT seed, b, depth + 1 FROM reach JOIN links ON a = id WHERE depth < 2),
+  near AS (SELECT id, min(seed_rank * 10 + depth) AS at FROM (SELECT seed, id, min(depth) AS depth FROM reach GROUP BY seed, id) JOIN seeds USING (seed) GROUP BY id),
+  by_graph AS (SELECT 0::BIGINT AS qid, id, row_number() OVER (ORDER BY at, id) AS rank FROM near)"""
+
+
+def _by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within two hops of the three nearest vectors; conversations are linked to their turns' numbers."""
+    c = tables.table(spark, sf_dir, "conversations")
+    edges = c.select(F.col("conv_id").cast("string").alias("source"), (F.col("turn") + 1000).cast("string").alias("target")).distinct()
+    v = tables.vectors(spark, sf_dir)
+    asked = v.where("id = '7'").select(F.lit(0).cast("bigint").alias("qid"), F.col("v").alias("q"))
+    seeds = vectors.batch_top_k(v, asked, 3).select("qid", F.col("id").alias("seed"), F.col("rank").alias("seed_rank"))
+    return graph.ranked_near(edges, seeds, 2)
+
+
+@query(f"WITH RECURSIVE {GRAPH} SELECT * FROM by_graph")
+def graph_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's ranking alone: by seed, depth and id."""
+    return _by_graph(spark, sf_dir)
+
+
+@query(
+    f"""WITH RECURSIVE {INDEXED}{TERM_QUERIES}{BM25}, {GRAPH},
+  rankings AS (SELECT qid, id, rank FROM ({ranked_sql('s', 'score DESC', 3 * K)}) UNION ALL SELECT qid, id, rank FROM ({top_sql(3 * K)}) UNION ALL SELECT qid, id, rank FROM by_graph),
+  rrf AS (SELECT qid, id, round(sum(1 / (60 + rank)), 6) AS score FROM rankings GROUP BY qid, id), first AS ({ranked_sql('rrf', 'score DESC', 2 * K)}),
+  joined AS (SELECT f.qid, f.id, f.score FROM first f JOIN nodes n USING (id) WHERE confidence >= 0) {ranked_sql('joined', 'score DESC', K)}"""
+)
+def hybrid_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword, vector and graph rankings fused."""
+    nodes = tables.nodes(spark, sf_dir).select("id", "confidence", "tags")
+    return fusion.fused([*_rankings(spark, sf_dir, K), _by_graph(spark, sf_dir)], nodes, K).select("qid", "id", "score", "rank")

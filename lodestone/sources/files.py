@@ -29,12 +29,12 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", F.when(F.col("length") <= HASHED, F.sha2("content", 256)).otherwise(by_size).alias("hash"))
 
 
-def as_nodes(files: DataFrame, project: str | None = None) -> DataFrame:
-    """A node for each file that is neither empty nor too large, named by its path, with the text's first bytes."""
+def as_nodes(files: DataFrame, project: str | None = None, capped: bool = True) -> DataFrame:
+    """A node for each file that is neither empty nor (if capped) too large, named by its path, with the text's first bytes."""
     name = F.element_at(F.split("path", "/"), -1)
     tags = [F.concat(F.lit("file:"), name), F.concat(F.lit("ext:"), F.regexp_extract(name, r"\.([^.]+)$", 1)), F.concat(F.lit("path:"), "path")]
     tags += [F.lit(f"project:{project}")] if project else []
-    return files.where((F.col("length") > 0) & (F.col("length") <= LARGEST)).select(
+    return files.where((F.col("length") > 0) & ((F.col("length") <= LARGEST) if capped else F.lit(True))).select(
         F.sha2("path", 256).alias("id"),
         F.lit("document").alias("node_type"),
         utf8_prefix(F.decode("content", "utf-8"), BODY_BYTES).alias("body"),

@@ -14,14 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as nodes; confidence follows the labels, every third node is valid for one day."""
+    """Documents as nodes, German ones as facts; confidence follows the labels, every third node is valid for one day."""
     made = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
     return (
         table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id", "left")
         .select(
             F.col("doc_id").cast("string").alias("id"),
-            F.lit("document").alias("node_type"),
+            F.when(F.col("lang") == "de", "fact").otherwise("document").alias("node_type"),
             F.col("text").alias("body"),
             F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("project:"), "source")).alias("tags"),
             F.coalesce(0.5 + 0.5 * F.col("quality") - 0.25 * F.col("toxic"), F.lit(1.0)).alias("confidence"),
