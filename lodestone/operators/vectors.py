@@ -164,7 +164,7 @@ def cell_of(v: Column, centres: Column) -> Column:
     return F.array_max(F.transform(centres, lambda c, i: F.struct(dot(c).alias("near"), (-i).alias("minus"))))["minus"] * -1
 
 
-def ivf_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, share: float = 0.72) -> DataFrame:
+def ivf_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, share: float = 0.82) -> DataFrame:
     """Approximate top-k: every vector lies in the cell of its nearest centre, a query looks into its nearest `share` of the cells.
 
     Centres are a bounded sample (`cells` vectors, by hash); every vector is indexed. Where

@@ -304,12 +304,12 @@ def rerank_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.reranked(fused, near, 20, K)
 
 
-GRAPH = f"""{{VECTORS}}, asked AS (SELECT 0::BIGINT AS qid, v AS q FROM vectors WHERE id = '7'), s AS (SELECT qid, id, {{COSINE}} AS score FROM vectors, asked),
-  seeds AS (SELECT id AS seed, rank AS seed_rank FROM ({{ranked_sql('s', 'score DESC', 3)}})),
+GRAPH = f"""{VECTORS}, asked AS (SELECT 0::BIGINT AS qid, v AS q FROM vectors WHERE id = '7'), s AS (SELECT qid, id, {COSINE} AS score FROM vectors, asked),
+  seeds AS (SELECT id AS seed, rank AS seed_rank FROM ({ranked_sql('s', 'score DESC', 3)})),
   links AS (SELECT DISTINCT * FROM (SELECT conv_id::VARCHAR AS a, (turn + 1000)::VARCHAR AS b FROM conversations UNION ALL SELECT (turn + 1000)::VARCHAR, conv_id::VARCHAR FROM conversations)),
   reach(seed, id, depth) AS (SELECT seed, seed, 0::BIGINT FROM seeds UNION SELECT seed, b, depth + 1 FROM reach JOIN links ON a = id WHERE depth < 2),
-  near AS (SELECT id, min(seed_rank * 10 + depth) AS at FROM (SELECT seed, id, min(depth) AS depth FROM reach GROUP BY seed, id) JOIN seeds USING (seed) GROUP BY id),
-  by_graph AS (SELECT 0::BIGINT AS qid, id, row_number() OVER (ORDER BY at, id) AS rank FROM near)"""
+  near AS (SELECT id, min(seed_rank * 10 + depth) AS spot FROM (SELECT seed, id, min(depth) AS depth FROM reach GROUP BY seed, id) JOIN seeds USING (seed) GROUP BY id),
+  by_graph AS (SELECT 0::BIGINT AS qid, id, row_number() OVER (ORDER BY spot, id) AS rank FROM near)"""
 
 
 def _by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
