@@ -4,28 +4,33 @@ Vectors are turned to integers, floor(256 x) for each component x as double. For
 the 5 other vectors of largest inner product are found exactly, ties to the smaller id.
 
 The tree has three levels. Routing objects of the top level are chosen from a bounded sample
-(at most `sample` vectors, by hash of the id); every vector is indexed under its nearest one.
-Its rows are dealt to pages of at most `page` vectors; a page is a node with a routing object
-of its own (one of its vectors), a covering radius and each entry's distance to it. Equal
-vectors, however many, fill as many pages as they need.
+(at most `sample` vectors, by hash of the id), the more the more rows there are; every vector is
+indexed under its nearest one. A node's rows are dealt to pages of at most `page` vectors, in as many
+parts as its size asks for; a page is a node with a routing object of its own (one of its
+vectors), a covering radius and each entry's distance to it. Equal vectors, however many, fill as
+many pages as they need.
 
 The triangle inequality bounds scores: with r the routing object of a node of radius R,
 q.x <= q.r + |q| R for all x under it, and q.x <= q.r + |q| d(x, r) for an entry by its stored
 distance, so most entries and nodes are dismissed without a product. Distances are rounded up
 where they bound, so nothing is lost to rounding.
 
-1. Each query goes to the top node with the best bound and is answered there: its 5th score
+1. Each query goes to the top node with the best bound and is answered there: its last score
    is a floor. 2. A block of queries goes on only to those top nodes whose bound reaches the
-   floor of one of them. There its pages are visited best bound first, each page by the
-   queries it can still improve; floors rise on the way. 3. Results meet by query, five
-   from each task at most.
+   floor of one of them. It meets the node's list of pages (routing objects and radii alone) first and
+   then those pages whose bound reaches a floor, best bound first, each page by the queries it can still
+   improve; floors rise on the way. 3. Results meet by query; each task sends on the best
+   few of each block, and Spark limits them again before the shuffle.
 
-Queries travel in blocks of at most `block`, grouped by their top node; a block meets a part
-of a node's pages in one task (`group` pages), so neither a node nor a query set of any size
+Queries travel in blocks of at most `block`, grouped by their top node and a salt; a block meets
+a part of a node's pages in one task (`group` pages), so neither a node nor a query set of any size
 comes together. Vectors that are null, or hold null or non-finite components, take no part,
-as queries and as candidates; vectors of another length than the most common of the sample
-count as such too. Rows that repeat an id are rows of their own: as candidates each may be
-found (a query skips every row of its own id), as queries an id is asked once per distinct vector.
+as queries and as candidates. Vectors of each length are indexed apart, and a query meets those of
+its own. Scores are exact: products of integers below 2^53 are exact as doubles, and a vector
+whose square is larger is refused with an error. Rows that repeat an id are rows of their own: a query
+skips one row, its own, and an id is asked once per distinct vector; a null id asks and is found
+nowhere. An empty table gives an empty one; only `vec_id` and the vectors are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +49,9 @@ from lodestone.llm.arrays import arrow_rows, pieces_of
 from lodestone.llm.common import cut, table
 
 K, EVERY = 5, 50
-SAMPLE, NODES, PAGE, GROUP, BLOCK = 4096, 64, 512, 16, 512
+SAMPLE, NODES, PAGE, GROUP, BLOCK, SALTS = 4096, 1024, 512, 16, 512, 8
+#: Pages of one list of a node, and squares from which sums are not exact.
+LISTED, EXACT = 256, 2.0**53
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -56,14 +64,10 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     ).select("id", "v")
 
 
-def routing_objects(found: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> np.ndarray:
+def routing_objects(found: DataFrame, size: int, sample: int = SAMPLE, nodes: int = NODES) -> np.ndarray:
     """Vectors of a bounded sample, each the farthest from those chosen before it."""
-    rows = found.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not rows:
-        return np.zeros((0, 0))
-    lengths = [len(r["v"]) for r in rows]
-    size = max(set(lengths), key=lambda n: (lengths.count(n), -n))
-    pool = np.array([r["v"] for r in rows if len(r["v"]) == size]).reshape(-1, size)
+    rows = found.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+    pool = np.array([r["v"] for r in rows], float).reshape(-1, size)
     chosen, far = [0], np.full(len(pool), np.inf)
     while len(chosen) < nodes:
         far = np.minimum(far, ((pool - pool[chosen[-1]]) ** 2).sum(axis=1))
@@ -132,9 +136,42 @@ def pages_of(placed: DataFrame, page: int = PAGE, group: int = GROUP) -> DataFra
         yield arrow_rows([packed(node, np.array(ids), np.array(vectors))] if ids else [], types)
 
     # A node's rows are spread by id over as many parts as it needs, then lie near each other by distance.
-    spread = placed.select("id", "v", "node", "away").repartition("node", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("node", "away", "id")
+    sizes = placed.groupBy("node").agg(F.ceil(F.count("*") / (2 * page)).alias("parts"))  # one row a node
+    spread = placed.join(F.broadcast(sizes), "node").select("id", "v", "node", "away", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    spread = spread.repartition("node", "part").sortWithinPartitions("node", "part", "away", "id")
     pages = spread.select("id", "v", "node").mapInArrow(run, "node int, grp long, radius double, ids binary, vectors binary, away binary")
-    return pages.withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(1 << 30)))
+    return pages.withColumn("grp", F.xxhash64("ids"))
+
+
+def page_lists(pages: DataFrame, size: int) -> DataFrame:
+    """`node`, `list`: (grp, radius, centre) of at most about LISTED pages of a node."""
+    each = pages.select("node", "grp", "radius", F.substring("vectors", 1, 8 * size).alias("centre"))
+    parts = F.ceil(F.count("*").over(W.partitionBy("node")) / LISTED)
+    return each.withColumn("part", F.pmod(F.xxhash64("grp"), parts)).groupBy("node", "part").agg(F.collect_list(F.struct("grp", "radius", "centre")).alias("list")).drop("part")
+
+
+def reached(blocks: DataFrame, lists: DataFrame, size: int) -> DataFrame:
+    """Blocks with the pages (`grps`) of their node whose bound reaches the floor of one of their queries."""
+    schema = T.StructType([*blocks.schema.fields, T.StructField("grps", T.ArrayType(T.LongType()))])
+    columns = blocks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces_of(whole, 16)):
+            kept, grps = [], []
+            for at in range(batch.num_rows):
+                queries = np.frombuffer(batch.column(columns.index("queries"))[at].as_py()).reshape(-1, size)
+                floors = np.frombuffer(batch.column(columns.index("floors"))[at].as_py())
+                pages = batch.column(len(columns))[at].as_py()
+                centres = np.array([np.frombuffer(p["centre"]) for p in pages])
+                bounds = queries @ centres.T + norms(queries)[:, None] * np.array([p["radius"] for p in pages])[None, :]
+                near = [p["grp"] for p, on in zip(pages, (bounds >= floors[:, None]).any(axis=0)) if on]
+                if near:
+                    kept.append(at)
+                    grps.append(near)
+            chosen = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns[: len(columns)], pa.array(grps, pa.list_(pa.int64()))], names=schema.names)
+
+    return blocks.join(lists, "node").select(*columns, "list").mapInArrow(run, schema)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -147,7 +184,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def search(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, pages: list[tuple], k: int) -> list[tuple[int, int, int]]:
+def search(queries: np.ndarray, floors: np.ndarray, pages: list[tuple], k: int) -> list[tuple[int, int, int]]:
     """(place of the query, id, score): the k best entries of these pages for each query of a block.
 
     pages: routing object, radius, ids, vectors, stored distances. Floors are scores that k
@@ -170,7 +207,6 @@ def search(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, pages: list
         if begin == len(ids):
             continue
         scores = queries[active] @ vectors[begin:].T
-        scores[own[active][:, None] == ids[begin:][None, :]] = -np.inf
         reach = np.flatnonzero(scores.max(axis=1) >= floors[active])
         for row in reach.tolist():
             q = active[row]
@@ -183,29 +219,36 @@ def search(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, pages: list
     return [(q, int(kept_ids[q, j]), int(kept_scores[q, j])) for q in range(n) for j in range(k) if kept_scores[q, j] > -np.inf]
 
 
-RESULT = {"query_id": pa.int64(), "qkey": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
-RESULT_SCHEMA = "query_id long, qkey long, vec_id long, score long"
+RESULT = {"query_id": pa.int64(), "qkey": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "own": pa.bool_()}
+RESULT_SCHEMA = "query_id long, qkey long, vec_id long, score long, own boolean"
 
 
-def visits(blocks: DataFrame, pages: DataFrame, size: int, k: int, group: int = GROUP) -> DataFrame:
-    """Results of each block of queries in each group of pages of its node.
+def visits(blocks: DataFrame, pages: DataFrame, lists: DataFrame, size: int, k: int, group: int = GROUP) -> DataFrame:
+    """Results of each block of queries in each group of pages of its node, `own` where the row may be the query's.
 
-    blocks: `node`, `qids`, `qkeys`, `queries`, `floors` (packed). A task gets rows of a page
-    with a block, sorted so that those of one block and group follow each other.
+    blocks: `node`, `bid`, `qids`, `qkeys`, `queries`, `floors` (packed). Pages that a block cannot use
+    are left out of the join; a task gets rows of a page with a block.
     """
-    joined = blocks.join(pages, "node").select("bid", "grp", "qids", "qkeys", "queries", "floors", "ids", "vectors", "away", "radius")
+    near = reached(blocks, lists, size).alias("b")
+    joined = near.join(pages.alias("p"), (F.col("b.node") == F.col("p.node")) & F.array_contains("b.grps", F.col("p.grp")))
+    joined = joined.select("bid", "qids", "qkeys", "queries", "floors", "ids", "vectors", "away", "radius")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, last = None, [], None
 
         def done() -> list[tuple]:
             qids, qkeys, queries, floors = block
-            found = search(queries, qids, floors, held, k)
-            return [(int(qids[q]), int(qkeys[q]), i, s) for q, i, s in found]
+            out = []
+            for q, i, s in search(queries, floors, held, k):
+                own = False
+                if i == qids[q]:  # the query's own row, or another one of its id
+                    own = any((p[3][p[2] == i] == queries[q]).all(axis=1).any() for p in held if (p[2] == i).any())
+                out.append((int(qids[q]), int(qkeys[q]), i, s, own))
+            return out
 
         for batch in (piece for whole in batches for piece in pieces_of(whole, 8)):
             out = []
-            for bid, _, qids, qkeys, queries, floors, ids, vectors, away, radius in zip(*(c.to_pylist() for c in batch.columns)):
+            for bid, qids, qkeys, queries, floors, ids, vectors, away, radius in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (bid != last or len(held) == group):
                     out += done()
                     held = []
@@ -229,7 +272,7 @@ def blocks_of(asked: DataFrame, size: int) -> DataFrame:
 
         def packed() -> tuple:
             ids, keys, floors = (np.array([r[i] for r in rows], t) for i, t in ((0, np.int64), (1, np.int64), (3, np.float64)))
-            return node, f"{node}-{keys[0]}-{len(keys)}", ids.tobytes(), keys.tobytes(), np.array([r[2] for r in rows], np.float64).tobytes(), floors.tobytes()
+            return node, f"{node}-{keys[0]}-{keys[-1]}-{len(keys)}", ids.tobytes(), keys.tobytes(), np.array([r[2] for r in rows], np.float64).tobytes(), floors.tobytes()
 
         for batch in (piece for whole in batches for piece in pieces_of(whole, 1024)):
             out = []
@@ -242,28 +285,39 @@ def blocks_of(asked: DataFrame, size: int) -> DataFrame:
             yield arrow_rows(out, types)
         yield arrow_rows([packed()] if rows else [], types)
 
-    dealt_out = asked.select("node", "id", "qkey", "v", "floor").repartition("node").sortWithinPartitions("node", "qkey")
+    dealt_out = asked.select("node", "id", "qkey", "v", "floor").repartition("node", F.pmod(F.col("qkey"), F.lit(SALTS))).sortWithinPartitions("node", "qkey")
     return dealt_out.mapInArrow(run, "node int, bid string, qids binary, qkeys binary, queries binary, floors binary")
 
 
 def top_of(results: DataFrame, k: int) -> DataFrame:
-    """The k best results of each query: `qkey`, `top` (sorted)."""
-    # The aggregate keeps no more than k of each query and task: results come k to a task.
-    order = "array_sort(collect_list(struct(-score as minus, vec_id, query_id)))"
-    return results.groupBy("qkey").agg(F.slice(F.expr(order), 1, k).alias("top"))
+    """The k best results of each query with their `place` (from 1); few of a task's rows are shuffled."""
+    w = W.partitionBy("qkey").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    return results.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, nodes: int = NODES, page: int = PAGE) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score` for the rows whose id is divisible by `every`."""
-    spark = vectors.sparkSession
-    found = usable(vectors)
-    centres = routing_objects(found, sample, nodes)
-    size = centres.shape[1]
-    if not size:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = cut(usable(vectors))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    lengths = found.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(square).alias("square")).collect()  # one row a length
+    if any(r["square"] >= EXACT for r in lengths):
+        raise OverflowError("vectors whose integer squares reach 2^53 cannot be scored exactly")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for r in sorted(lengths):
+        if r["size"]:
+            wanted = min(nodes, max(16, round(4 * (r["n"] / page) ** 0.5)))
+            out = out.unionByName(_of_length(found.where(F.size("v") == r["size"]), r["size"], k, every, sample, wanted, page))
+    return out
+
+
+def _of_length(found: DataFrame, size: int, k: int, every: int, sample: int, nodes: int, page: int) -> DataFrame:
+    """The search among vectors of one length. One result more than k is kept until the query's own row is left out."""
+    spark, more = found.sparkSession, k + 1
+    centres = routing_objects(found, size, sample, nodes)
     routes = spark.sparkContext.broadcast(centres)
-    placed = cut(dealt(found.where(F.size("v") == size), routes))
+    placed = cut(dealt(found, routes))
     pages = cut(pages_of(placed, page))
+    lists = cut(page_lists(pages, size))
     radii = {r["node"]: r["radius"] for r in placed.groupBy("node").agg(F.max("away").alias("radius")).collect()}
     reach = spark.sparkContext.broadcast(np.array([radii.get(n, -np.inf) for n in range(len(centres))]))
     queries = placed.where(F.col("id") % every == 0).select("id", F.xxhash64("id", "v").alias("qkey"), "v").distinct()
@@ -280,9 +334,8 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int
                 node = bounded(batch).argmax(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(node), *batch.columns, pa.array(np.full(batch.num_rows, -1e300))], names=["node", "id", "qkey", "v", "floor"])
 
-    seeds = cut(top_of(visits(blocks_of(queries.mapInArrow(first, asked_schema), size), pages, size, k), k))
-    floor = F.when(F.size("top") >= k, -F.element_at("top", k)["minus"].cast("double")).otherwise(F.lit(-1e300))
-    floors = seeds.select("qkey", floor.alias("floor"))
+    seeds = cut(top_of(visits(blocks_of(queries.mapInArrow(first, asked_schema), size), pages, lists, size, more), more))
+    floors = seeds.groupBy("qkey").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= more)
     waiting = queries.join(floors, "qkey", "left").select("id", "qkey", "v", F.coalesce("floor", F.lit(-1e300)).alias("floor"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +347,13 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int
                 columns = [c.take(pa.array(rows)) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), *columns], names=["node", "id", "qkey", "v", "floor"])
 
-    rest = visits(blocks_of(waiting.mapInArrow(others, asked_schema), size), pages, size, k)
-    seen = seeds.select("qkey", F.explode("top").alias("t")).select(F.col("t.query_id").alias("query_id"), "qkey", F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))
-    final = top_of(seen.unionByName(rest), k).select(F.posexplode("top").alias("at", "t"))
-    return final.select(F.col("t.query_id").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))
+    rest = visits(blocks_of(waiting.mapInArrow(others, asked_schema), size), pages, lists, size, more)
+    top = top_of(seeds.drop("place").unionByName(rest), more)
+    # One row that may be the query's own goes: of rows that are equal it does not matter which.
+    mine = F.min(F.when(F.col("own"), F.col("place"))).over(W.partitionBy("qkey"))
+    left = top.withColumn("mine", mine).where("mine IS NULL OR place <> mine")
+    rank = F.when(F.col("place") > F.coalesce("mine", F.lit(2**31 - 1)), F.col("place") - 1).otherwise(F.col("place"))
+    return left.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,19 @@ def test_search_of_little(spark):
     assert [(r.query_id, r.vec_id) for r in mtree.exact_top_k(few).collect()] == [(0, 1)]
 
 
+def test_search_of_lengths_repeated_ids_and_large_numbers(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0]), (50, [2.0]), (100, [1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame([(i, v, "x", 9) for i, v in rows], "vec_id long, embedding array<double>, query_id string, score int")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in mtree.exact_top_k(frame).collect())
+    n = 256 * 256
+    want = [(0, 0, 5 * n), (0, 0, 3 * n), (0, 1, 3 * n)]  # of the twice given row
+    want += [(0, 0, 3 * n), (0, 0, 3 * n), (0, 1, 3 * n)]  # of the other row of this id
+    assert got == sorted(want + [(50, 2, 10 * n)])
+    assert sorted(r["rank"] for r in mtree.exact_top_k(frame).where("query_id = 0").collect()) == [1, 1, 2, 2, 3, 3]
+    with pytest.raises(OverflowError):
+        mtree.exact_top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"))
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
