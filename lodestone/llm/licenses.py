@@ -10,7 +10,9 @@ identifiers, occurs in a document's sequence.
 Sentences meet the known ones in a broadcast join: that table is fixed, one row for each known
 sentence. Only recognised sentences are shuffled, a few rows for a document with a licence.
 Null and empty texts have no sentences. A document's findings carry its id; rows that repeat id
-and text share one finding, and a null id is kept as null.
+and text share one finding, different texts of an id add up, and a null id is kept as null. Texts of
+any length go through whole; an empty table gives an empty one. Of rules that begin at the same sentence all
+are found, so ties need no order. Only `doc_id` and `text` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ID, TH, keyed, table
 
 GAP = 2
+#: Licences that are named by an SPDX line.
+SPDX = (
+    "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
 #: Licence sentences, normalised, with their identifiers.
 SENTENCES = (
     ("a1", "licensed under the apache license version 2 0"),
@@ -50,6 +57,56 @@ SENTENCES = (
     ("i1", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("z1", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("u1", "this is free and unencumbered software released into the public domain"),
+    ("u2", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("a7", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("a8", "this file is licensed under the apache license version 2 0"),
+    ("a9", "released under the apache license version 2 0"),
+    ("m6", "this project is licensed under the mit license"),
+    ("m7", "distributed under the mit license"),
+    ("m8", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("g6", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("g7", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2"),
+    ("g8", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3"),
+    ("g9", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("l1", "this library is free software"),
+    ("l2", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("l3", "either version 2 1 of the license or at your option any later version"),
+    ("l4", "either version 3 of the license or at your option any later version"),
+    ("l5", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("l6", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("l7", "licensed under the gnu lesser general public license version 3"),
+    ("f1", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("f2", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("f3", "licensed under the gnu affero general public license version 3"),
+    ("g0", "either version 2 of the license or at your option any later version"),
+    ("b5", "neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("b6", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("b7", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("b8", "licensed under the bsd 3 clause license"),
+    ("b9", "licensed under the bsd 2 clause license"),
+    ("o1", "distributed under the boost software license version 1 0"),
+    ("o2", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("y1", "this software is provided as is without any express or implied warranty"),
+    ("y2", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("y3", "the origin of this software must not be misrepresented"),
+    ("z2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("z3", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("e1", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("e2", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("e3", "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0"),
+    ("d1", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("d2", "licensed under cc0 1 0"),
+    ("d3", "this work is marked with cc0 1 0 universal"),
+    ("c5", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("c6", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("c7", "licensed under cc by nd 4 0"),
+    ("c8", "licensed under cc by nc sa 4 0"),
+    ("c9", "licensed under cc by nc nd 4 0"),
+    ("c0", "licensed under the creative commons attribution 4 0 international license"),
+    ("w1", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("v1", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("r1", "all rights reserved"),
+    *((f"s{n}", f"spdx license identifier {' '.join(name.lower().replace('-', ' ').replace('.', ' ').split())}") for n, name in enumerate(SPDX)),
 )
 #: Ordered rules, licence and identifiers.
 RULES = (
@@ -66,6 +123,51 @@ RULES = (
     ("GPL-3.0", "g1"),
     ("GPL-3.0-or-later", "g2 g3"),
     ("ISC", "i1"),
+    ("AGPL-3.0", "f3"),
+    ("AGPL-3.0-or-later", "f1"),
+    ("AGPL-3.0-or-later", "f2 l4"),
+    ("Apache-2.0", "a7 a3"),
+    ("Apache-2.0", "a8"),
+    ("Apache-2.0", "a9"),
+    ("BSD-2-Clause", "b9"),
+    ("BSD-3-Clause", "b1 b2 b3 b5"),
+    ("BSD-3-Clause", "b1 b2 b3 b6"),
+    ("BSD-3-Clause", "b8"),
+    ("BSD-4-Clause", "b1 b2 b3 b7"),
+    ("BSL-1.0", "o1"),
+    ("BSL-1.0", "o2"),
+    ("CC-BY-4.0", "c0"),
+    ("CC-BY-NC-4.0", "c6"),
+    ("CC-BY-NC-ND-4.0", "c9"),
+    ("CC-BY-NC-SA-4.0", "c8"),
+    ("CC-BY-ND-4.0", "c7"),
+    ("CC-BY-SA-4.0", "c5"),
+    ("CC0-1.0", "d1"),
+    ("CC0-1.0", "d2"),
+    ("CC0-1.0", "d3"),
+    ("EPL-1.0", "e2"),
+    ("EPL-2.0", "e1"),
+    ("EPL-2.0", "e3"),
+    ("GPL-2.0-only", "g2 g6"),
+    ("GPL-2.0-only", "g2 g7"),
+    ("GPL-2.0-or-later", "g9 g0"),
+    ("GPL-3.0-only", "g2 g8"),
+    ("GPL-3.0-or-later", "g9 l4"),
+    ("HPND", "v1"),
+    ("LGPL-2.1-or-later", "l1 l2 l3"),
+    ("LGPL-2.1-or-later", "l1 l5"),
+    ("LGPL-3.0", "l7"),
+    ("LGPL-3.0-or-later", "l1 l2 l4"),
+    ("LGPL-3.0-or-later", "l1 l6"),
+    ("MIT", "m6"),
+    ("MIT", "m7"),
+    ("MPL-1.1", "z3"),
+    ("MPL-2.0", "z2"),
+    ("Unlicense", "u2"),
+    ("WTFPL", "w1"),
+    ("Zlib", "y1 y2"),
+    ("Zlib", "y2 y3"),
+    *((name, f"s{n}") for n, name in enumerate(SPDX)),
     ("MIT", "m1"),
     ("MIT", "m2"),
     ("MIT", "m3 m4"),
@@ -78,7 +180,8 @@ def license_scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """`doc_id`, `license`, `n_found`, `first_sentence` (place of the first one, from 0)."""
     spark = docs.sparkSession
     known = spark.createDataFrame(list(SENTENCES), "sid string, sentence string")
-    text = F.coalesce("text", F.lit(""))
+    # An SPDX line is one sentence: its colon parts nothing.
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("SPDX-License-Identifier:"), F.lit("SPDX-License-Identifier"))
     unwrapped = F.regexp_replace(F.regexp_replace(text, "([a-z,])[ \t]*\r?\n[ \t]*([a-z])", "$1 $2"), "([A-Z],?)[ \t]*\r?\n[ \t]*([A-Z]{2})", "$1 $2")
     pieces = F.split(F.regexp_replace(unwrapped, "([.!?;:])[ \t\r\n\f]+", "$1\n"), "\n")
     place = keyed(docs).select(ID, TH, F.posexplode(pieces).alias("place", "piece"))
@@ -114,7 +217,7 @@ SQL = rf"""
 WITH known(sid, sentence) AS (VALUES {_values(SENTENCES)}),
 rules(license, rule) AS (VALUES {_values(RULES)}),
 unwrapped AS (
-  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([a-z,])[ \t]*\r?\n[ \t]*([a-z])', '\1 \2', 'g'), '([A-Z],?)[ \t]*\r?\n[ \t]*([A-Z]{{2}})', '\1 \2', 'g') AS text
+  SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), 'SPDX-License-Identifier:', 'SPDX-License-Identifier'), '([a-z,])[ \t]*\r?\n[ \t]*([a-z])', '\1 \2', 'g'), '([A-Z],?)[ \t]*\r?\n[ \t]*([A-Z]{{2}})', '\1 \2', 'g') AS text
   FROM documents
 ), pieces AS (
   SELECT doc_id, string_split(regexp_replace(text, '([.!?;:])[ \t\r\n\f]+', '\1' || chr(10), 'g'), chr(10)) AS p FROM unwrapped

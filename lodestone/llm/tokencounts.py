@@ -11,10 +11,12 @@ goes to its sections by an explicit rule:
 
 Sections are given as an array of (name, begin, end) in characters, begin included and end not,
 in any order, overlapping or not; without one, each line with its line feed is a section.
-Tokens outside all sections, and sections outside the text, count nothing. A token that holds
-only a part of a character counts as holding it. Null and empty texts have no sections of
-their own (given ones get zero). Rows are counted one by one, so repeated rows and null ids
-need no care.
+Tokens outside all sections, and sections outside the text, count nothing; so do sections that are
+null, whose begin or end is null, or that end before they begin: they keep their place, name and
+bounds and get 0. A token that holds only a part of a character counts as holding it. Null and
+empty texts have no sections of their own (given ones get zero). Rows are counted one by one, so
+repeated rows and null ids need no care; texts of any length go through whole; an empty table
+gives an empty one. Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -58,6 +60,7 @@ def counts(first: np.ndarray, end: np.ndarray, begins: np.ndarray, ends: np.ndar
     low, high = np.searchsorted(end, begins, side="right"), np.searchsorted(first, ends, side="left")
     if rule == "first":
         return np.maximum(np.searchsorted(first, ends, side="left") - np.searchsorted(first, begins, side="left"), 0).astype(float)
+    high = np.where(ends > begins, high, low)  # an empty section holds nothing
     out = np.maximum(high - low, 0).astype(float)
     # Only a section's first and last tokens can cross its borders.
     held: dict[int, list[tuple[float, int]]] = {}
@@ -94,22 +97,26 @@ def token_counts(docs: DataFrame, path: str, rule: str = "first", sections: str
                 text = text or ""
                 first, end = token_spans(bpe, text.encode(), text)
                 if sections:
-                    begins, ends = np.array([s["begin"] for s in own or []], np.int64), np.array([s["end"] for s in own or []], np.int64)
-                    called = [s["name"] for s in own or []]
+                    given_spans = [(s["name"], s["begin"], s["end"]) if s else (None, None, None) for s in own or []]
+                    said = [(b, e) for _, b, e in given_spans]
+                    called = [n for n, _, _ in given_spans]
+                    whole = np.array([(0, 0) if b is None or e is None else (b, max(b, e)) for b, e in said], np.int64).reshape(-1, 2)
+                    begins, ends = whole[:, 0], whole[:, 1]
                 else:
                     begins, ends = line_sections(text)
-                    called = [None] * len(begins)
+                    called, said = [None] * len(begins), None
                 rows += [at] * len(begins)
-                columns.append((np.arange(len(begins)), called, begins, ends, counts(first, end, begins, ends, rule)))
-            joined = [np.concatenate([c[i] for c in columns]) if columns else np.empty(0) for i in (0, 2, 3, 4)]
+                said = list(zip(begins.tolist(), ends.tolist())) if said is None else said
+                columns.append((np.arange(len(begins)), called, said, counts(first, end, begins, ends, rule)))
+            joined = [np.concatenate([c[i] for c in columns]) if columns else np.empty(0) for i in (0, 3)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array(joined[0].astype(np.int64)),
                     pa.array([n for c in columns for n in c[1]], pa.string()),
-                    pa.array(joined[1].astype(np.int64)),
-                    pa.array(joined[2].astype(np.int64)),
-                    pa.array(joined[3].astype(float if rule == "shared" else np.int64), number),
+                    pa.array([b for c in columns for b, _ in c[2]], pa.int64()),
+                    pa.array([e for c in columns for _, e in c[2]], pa.int64()),
+                    pa.array(joined[1].astype(float if rule == "shared" else np.int64), number),
                 ],
                 names=names,
             )

@@ -8,14 +8,15 @@ Where no rule fits, the host's reputation decides. Labelled pages (a label of th
 if toxic or of low quality) are counted by host. Each level's bad share is shrunk to the one
 above it, host to registered domain to suffix to all, by a beta-binomial prior: its mean is
 the parent's posterior mean, its strength follows from the children's overdispersion (method
-of moments). A host is blocked if the lower bound of its posterior share of bad pages (mean
-less `z` deviations) reaches `block_from`.
+of moments). A host is blocked if the lower bound of its posterior share of bad pages reaches
+`block_from`; the bound is the normal approximation of the beta posterior's (mean less `z` deviations).
 
 Null URLs and URLs without `://` have empty host and path and share the reputation of the
 empty host. Pages without labels count nothing; of several labels of a page the worst holds.
 Rows that repeat are counted as often as they occur. Only three numbers, the strengths, come
 to the driver. Hosts are aggregated map-side; the join back is on the checked-out host table,
-so a host with a third of the pages can be split.
+so a host with a third of the pages can be split. URLs of any length go through whole; an empty table
+gives an empty one; input columns named as results are (in any case) are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Public suffixes of two labels that registered domains may stand under.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Common public suffixes of two labels that registered domains may stand under.
+TWO_LABEL_SUFFIXES = tuple(
+    "ac.jp ac.nz ac.uk ac.za co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.bd com.br com.cn com.co com.eg com.hk com.mx com.my com.ng "
+    "com.pe com.ph com.pk com.sa com.sg com.tr com.tw com.ua com.vn edu.au edu.cn edu.in gob.mx gov.au gov.br gov.cn gov.in gov.uk me.uk ne.jp net.au net.br net.cn "
+    "net.nz or.jp or.kr org.au org.br org.cn org.il org.in org.mx org.nz org.tr org.tw org.uk org.za".split()
+)
 
 
 @dataclass(frozen=True)
@@ -110,14 +115,14 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ..
     outcomes = located.select("page_id", "host").join(bad, "page_id", "left")
     hosts = cut(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("k")))
     known = cut(reputation(hosts))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    # Input columns may be named as the posterior's are: those are made under names of our own.
-    known = known.select(F.col("host").alias("__host"), F.col("mean").alias("__mean"), F.col("deviation").alias("__deviation"))
-    joined = located.join(known, F.col("host") == F.col("__host"))
-    lowest = F.col("__mean") - bound.z * F.col("__deviation")
+    # Input columns may be named as the posterior's are: each side keeps a name of its own.
+    joined = located.alias("l").join(known.alias("k"), F.col("l.host") == F.col("k.host"))
+    rule, verdict = rule_of(F.col("l.host"), F.col("l.path"), rules)
+    lowest = F.col("k.mean") - bound.z * F.col("k.deviation")
     own = F.when(lowest >= bound.block_from, "block").otherwise("allow")
-    out = {"rule": rule, "verdict": F.coalesce(verdict, own), "bad_share": F.col("__mean"), "bad_from": lowest}
-    return with_columns_of(joined, out).drop("__host", "__mean", "__deviation")
+    out = {"rule": rule, "verdict": F.coalesce(verdict, own), "bad_share": F.col("k.mean"), "bad_from": lowest}
+    kept = [F.col(f"l.`{c}`") for c in located.columns if c.lower() not in out]
+    return joined.select(*kept, *[v.alias(c) for c, v in out.items()])
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +130,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict", F.round("bad_share", 6).alias("bad_share"))
 
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 SQL = r"""
 WITH located AS (
   SELECT page_id, coalesce(url, '') AS url FROM pages
@@ -135,9 +141,9 @@ WITH located AS (
 ), bad AS (
   SELECT doc_id AS page_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id
 ), hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '([^.]*\.?[^.]*)$', 1) AS domain,
-    count(bad) AS n, sum(coalesce(bad, 0)) AS k
-  FROM parts LEFT JOIN bad USING (page_id) GROUP BY host
+  SELECT host, CASE WHEN two IN (""" + _SUFFIXES + r""") THEN two ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix,
+    CASE WHEN two IN (""" + _SUFFIXES + r""") THEN regexp_extract(host, '([^.]*\.?[^.]*\.?[^.]*)$', 1) ELSE two END AS domain, count(bad) AS n, sum(coalesce(bad, 0)) AS k
+  FROM (SELECT *, regexp_extract(host, '([^.]*\.?[^.]*)$', 1) AS two FROM parts) LEFT JOIN bad USING (page_id) GROUP BY host, two
 ), everywhere AS (
   SELECT (sum(k) + 1.0) / (sum(n) + 2.0) AS m FROM hosts
 ), suffixes AS (

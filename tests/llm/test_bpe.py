@@ -94,6 +94,19 @@ def test_border_rules():
     assert tokencounts.counts(first, end, begins, ends, "shared").sum() == pytest.approx(4)
 
 
+def test_odd_sections(spark):
+    """Null sections and bounds, ends before begins, ties, repeated rows and columns named as results are."""
+    kind = "doc_id long, text string, s array<struct<name:string,begin:int,end:int>>, section string, n_tokens string"
+    own = [None, ("a", None, 5), ("b", 3, None), (None, 0, 5), ("c", 9, 2), ("d", 5, 21), ("e", 5, 21)]
+    rows = [(1, "hello brave new world", own, "x", "y")] * 2 + [(None, None, own, "x", "y"), (2, "text", None, "x", "y"), (3, "", [], "x", "y")]
+    for rule in tokencounts.RULES:
+        got = [(r.doc_id, r.section, r["name"], r.begin, r.end, r.n_tokens) for r in tokencounts.token_counts(spark.createDataFrame(rows, kind), PATH, rule, "s").collect()]
+        assert len(got) == 21 and sum(g[5] for g in got if g[0] is None) == 0
+        first = sorted(g for g in got if g[0] == 1)
+        assert first[0] == first[1] and [g[5] for g in first[::2]] == [0, 0, 0, 1, 0, 3, 3]
+        assert [g[2:5] for g in first[::2]][:5] == [(None, None, None), ("a", None, 5), ("b", 3, None), (None, 0, 5), ("c", 9, 2)]
+
+
 def test_given_sections(spark):
     rows = spark.createDataFrame([(1, "hello brave new world", [("title", 0, 5), ("rest", 5, 21), ("none", 50, 60)])], "doc_id long, text string, s array<struct<name:string,begin:int,end:int>>")
     got = {r["name"]: r.n_tokens for r in tokencounts.token_counts(rows, PATH, "most", "s").collect()}

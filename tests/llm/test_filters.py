@@ -213,6 +213,41 @@ def test_rules_and_reputation(spark):
     assert urls.judged(frame.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_reputation_under_two_label_suffixes_as_sql(spark, tmp_path):
+    """co.uk hosts, repeated rows and columns named as results are, against the SQL."""
+    import duckdb
+    from compare import duck_rows, spark_rows
+
+    hosts = ["a.bad.co.uk", "b.bad.co.uk", "www.good.co.uk", "x.com.au", "co.uk", "fine.org", "a.b.c.fine.org", "", "one"]
+    pages = [(i, f"http://{hosts[i % 9]}/p/{i}") for i in range(180)] + [(0, "http://a.bad.co.uk/p/0"), (500, None)]
+    labels = [(i, int("bad" not in hosts[i % 9]), 0) for i in range(150)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    own, sql = spark_rows(urls.op6_url_filters(spark, str(tmp_path))), duck_rows(con, urls.SQL)
+    assert own[0] == sql[0] and set(own[1]) == set(sql[1])
+    clash = frame.withColumns({"HOST": F.lit(1), "__host": F.lit(2), "verdict": F.lit("v"), "n": F.lit(3)})
+    judged = urls.judged(clash, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert judged.count() == 182 and judged.where("verdict = 'v'").count() == 0 and "n" in judged.columns
+
+
+def test_licence_variants_and_odd_rows(spark):
+    long = "filler words here. " * 60_000
+    rows = [
+        (1, "// SPDX-License-Identifier: MIT\ncode"), (2, "SPDX-License-Identifier: Apache-2.0"), (3, f"{long} Distributed under the Boost Software License, Version 1.0. {long}"),
+        (4, "Released under the MIT License."), (4, "Released under the MIT License."), (None, "This is free and unencumbered software released into the public domain."),
+        (5, "Released under the MIT License. Released under the MIT License."), (6, ""), (7, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "mine", 1) for i, t in rows], "doc_id long, text string, license string, place int")
+    got = {(r.doc_id, r.license): r.n_found for r in licenses.license_scan(docs).collect()}
+    assert got == {(1, "MIT"): 1, (2, "Apache-2.0"): 1, (3, "BSL-1.0"): 1, (4, "MIT"): 1, (None, "Unlicense"): 1, (5, "MIT"): 2}
+    assert len({sid for sid, _ in licenses.SENTENCES}) == len(licenses.SENTENCES) == len({s for _, s in licenses.SENTENCES})
+    assert {i for _, rule in licenses.RULES for i in rule.split()} <= {sid for sid, _ in licenses.SENTENCES}
+
+
 def test_licences(spark, messy):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
     rows = [(1, f"code\n{mit}"), (2, "Prose. Licensed under CC BY-NC 4.0. More. Licensed under CC BY-NC 4.0."), (3, "permission is hereby granted"), (4, None)]
@@ -266,3 +301,23 @@ def test_pipeline_stages(spark, sf_dir):
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.select("doc_id").distinct().count() == final.count() > 0
     assert final.where("n_tokens < 0").count() == 0
+
+
+def test_pipeline_stages_of_odd_rows(spark, messy, tmp_path):
+    """Null ids, null, empty and very long texts, repeated rows, empty tables and columns named as results are."""
+    item = "a b c d e f g h i j"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    more = spark.createDataFrame([(20, f"before {item} after", "en", "a", 5), (21, "first line here\nsecond line here\nthird line here", "en", "a", 6)], messy.schema)
+    docs = messy.union(more).withColumns({"n_lines": F.lit("mine"), "kept_text": F.lit(7), "class_id": F.lit(8), "score": F.lit(9), "n_chars": F.length("text").cast("long")})
+    stages = [name for name, _ in corpus_pipeline.STAGES][:-1]
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        out = stage(spark, docs, str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        rows = out.collect()
+        if name in stages:
+            assert out.columns == docs.columns and all((r.n_lines, r.kept_text, r.class_id, r.score) == ("mine", 7, 8, 9) for r in rows)
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        docs = spark.createDataFrame(rows, out.schema).cache()
+    assert None in {r.doc_id for r in rows} and {3, 4, 5} <= {r.doc_id for r in rows} and 20 not in {r.doc_id for r in rows}
