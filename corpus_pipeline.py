@@ -9,6 +9,10 @@ columns of `documents`.
 3. near_duplicates: of each class of near-duplicates the first document stays.
 4. decontamination: documents that hold a benchmark item go.
 5. encoding: ids of the texts that are left, and the check that they decode to them.
+
+Null ids and null, empty and very long texts, repeated rows, ties and empty tables are handled as the
+operators say. Columns of docs stay as they are, whatever their names; only text and n_chars follow
+what line dedup removes. The last stage gives lang and source null where docs have none.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = lines.line_dedup(docs).where("n_lines = 0 or n_removed < n_lines")
+    # The row travels as one column, so that a column of docs named as a result is keeps its values.
+    done = lines.line_dedup(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")))
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return done.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("__row")["n_chars"])
+    kept = done.where("n_lines = 0 or n_removed < n_lines")
+    return kept.select(*[changed.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = bpe.encode_documents(docs, bpe.tokenizer_file(), keep=("lang", "source"))
+    named = docs.select("doc_id", "text", *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")])
+    done = bpe.encode_documents(named, bpe.tokenizer_file(), keep=("lang", "source"))
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
