@@ -24,6 +24,9 @@ results are (in any case) are replaced.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,14 +60,17 @@ def selected(hashes: DataFrame, min_lines: int, min_words: int) -> DataFrame:
         """The runs whose leftmost least hash is at this place."""
         runs = []
         for n in range(1, min_lines + 1):
-            starts = F.sequence(F.greatest(p - n + 1, F.lit(0)), p)
-            fits = lambda s, n=n: (s + n <= F.size("h")) & (s >= 0)
-            least = lambda s, n=n: F.array_position(F.slice("h", s + 1, F.lit(n)), F.array_min(F.slice("h", s + 1, F.lit(n)))) - 1 + s == p
-            heavy = lambda s, n=n: F.aggregate(F.slice("k", s + 1, F.lit(n)), F.lit(0), lambda a, x: a + x) >= min_words
-            kept = F.filter(starts, lambda s: fits(s) & (F.lit(True) if n == min_lines else heavy(s)) & least(s))  # noqa: B023
-            part = lambda s, n=n: F.slice("h", s + 1, F.lit(n))
-            runs.append(F.transform(kept, lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), F.xxhash64(part(s)).alias("w1"), F.xxhash64(F.lit(1), part(s)).alias("w2"))))  # noqa: B023
-        return F.concat(*runs)
+            for before in range(n):
+                at = [p + (j - before) for j in range(n)]
+                h = [F.get("h", i) for i in at]
+                fits = (p >= before) & (at[-1] < F.size("h"))
+                if n < min_lines:
+                    fits = fits & (functools.reduce(operator.add, [F.get("k", i) for i in at]) >= min_words)
+                for j in range(n):
+                    if j != before:
+                        fits = fits & (h[j] > h[before] if j < before else h[j] >= h[before])
+                runs.append(F.when(fits, F.struct((p - before).alias("start"), F.lit(n).alias("n"), F.xxhash64(*h).alias("w1"), F.xxhash64(F.lit(1), *h).alias("w2"))))
+        return F.filter(F.array(*runs), lambda r: r.isNotNull())
 
     positions = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda p: F.struct(F.get("h", p).alias("print"), runs_at(p).alias("runs")))
     rows = hashes.select(ID, TH, F.explode(F.filter(positions, lambda x: F.size(x["runs"]) > 0)).alias("p"))
@@ -73,7 +79,7 @@ def selected(hashes: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Identity columns and `gone`: (start, n) of the later repeats, counted in lines that are not blank."""
-    positions = selected(line_hashes(docs, text), min_lines, min_words)
+    positions = cut(selected(line_hashes(docs, text), min_lines, min_words))
     twice = cut(positions.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print"))
     extended = positions.join(twice, "print").select(ID, TH, F.inline("runs"))
     where = F.struct(ID, TH, "start")
