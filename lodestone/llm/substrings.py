@@ -39,6 +39,8 @@ from lodestone.llm.common import ID, TH, cut, keyed, table, with_columns_of
 WINDOW, SEED_WORDS = 50, 8
 #: Windows and bytes of the packed strings from which a bucket is not brought together.
 HOT, HOT_BYTES = 50_000, 8 << 20
+#: Parts in which the documents of a hot window meet its first one.
+SALTS = 32
 #: The bytes that part words.
 INSIDE = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 #: Multipliers of the two window hashes; odd, so that they have inverses.
@@ -167,7 +169,10 @@ def hot_ranges(chosen: DataFrame, window: int, seed: int) -> DataFrame:
 
     windows = cut(chosen.mapInArrow(run, f"w1 long, w2 long, {ID} long, {TH} long, begin long"))
     firsts = windows.groupBy("w1", "w2").agg(F.min(ID).alias("low"), F.max(ID).alias("high")).where("low < high").drop("high")
-    later = windows.join(firsts, ["w1", "w2"]).where(F.col(ID) > F.col("low"))
+    # A window may occur in very many documents: each part of them meets a copy of its first one.
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64(ID, TH), F.lit(SALTS)).cast("int"))
+    later = dealt.join(salted, ["w1", "w2", "salt"]).where(F.col(ID) > F.col("low"))
     return later.select(ID, TH, "begin", (F.col("begin") + window).alias("end"))
 
 
