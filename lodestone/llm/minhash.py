@@ -237,7 +237,7 @@ def finer_keys(texts: DataFrame, rows: int, bands: int) -> DataFrame:
 
 
 def judged(rest: DataFrame) -> DataFrame:
-    """`key`, `text_id`, `label`, `minor` (outside the bucket's largest component) and `m`, the number of those.
+    """`key`, `text_id`, `label`, `minor` (outside the bucket's largest component), that one (`major`) and `m`, the number of those.
 
     Buckets with texts of one component only are left out. Sizes of components are counted
     before they meet, so no bucket comes together.
@@ -245,14 +245,15 @@ def judged(rest: DataFrame) -> DataFrame:
     sizes = rest.groupBy("key", "label").agg(F.count("*").alias("size"))
     buckets = cut(sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("n"), F.count("*").alias("labels")).where("labels > 1"))
     known = buckets.select("key", F.col("most.label").alias("major"), (F.col("n") - F.col("most.size")).alias("m"))
-    return rest.join(known, "key").select("key", "text_id", "label", (F.col("label") != F.col("major")).alias("minor"), "m")
+    return rest.join(known, "key").select("key", "text_id", "label", (F.col("label") != F.col("major")).alias("minor"), "major", "m")
 
 
 def crossing_links(rest: DataFrame, sketches: DataFrame, sets: DataFrame, similar: float, most: int) -> DataFrame:
     """Verified pairs (`a`, `b`) between components; rest: `key`, `text_id`, `label` of the buckets left.
 
-    Large buckets are split by longer bands as long as there are any. Texts are dealt to blocks,
-    those of one large bucket together, its largest component's and the others' apart. Blocks
+    Large buckets are split by longer bands as long as there are any. Texts are dealt to blocks:
+    those of buckets with the same largest component together, that component's and the others' apart,
+    so that the many buckets of one group make few blocks. Blocks
     that meet in some bucket meet in a task, which compares their texts across components and
     sends on only what joins two components it had not joined before: no pair leaves it otherwise.
     """
@@ -267,7 +268,7 @@ def crossing_links(rest: DataFrame, sketches: DataFrame, sets: DataFrame, simila
         kept = kept.unionByName(level)
 
     weighed = sets.select("text_id", F.octet_length("columns").alias("bytes"))
-    home = kept.groupBy("text_id", "label").agg(F.max_by(F.struct("key", "minor"), F.struct("m", "key")).alias("family")).join(weighed, "text_id")
+    home = kept.groupBy("text_id", "label").agg(F.max_by(F.struct("major", "minor"), F.struct("m", "key")).alias("family")).join(weighed, "text_id")
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
     sizes = home.groupBy("family").agg(parts.alias("parts"))
     part = F.pmod(F.xxhash64("text_id"), F.col("parts"))
