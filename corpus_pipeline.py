@@ -31,9 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The row travels as one column, so that a column of docs named as a result is keeps its values.
-    done = lines.line_dedup(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")))
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    # Other columns travel as one, so that one of them that is named as a result is keeps its values.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    done = lines.line_dedup(docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("__none")).alias("__row")))
+    changed = {"doc_id": F.col("doc_id"), "text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("__row")["n_chars"])
     kept = done.where("n_lines = 0 or n_removed < n_lines")
