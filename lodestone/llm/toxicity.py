@@ -11,13 +11,13 @@
    model and the channel's costs.
 3. Words as written and as restored are scored together. A feature (word, its first 4 and 5
    letters) weighs what its documents say: the lower bound of its log odds between toxic and
-   clean labelled documents. A document's two strongest weights and the sum of all others go
-   through a logistic curve.
+   clean labelled documents. A document's two strongest weights go through a logistic curve;
+   all features take part in finding them.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, of those a
 sample by hash of about `sample` labelled documents (everything else covers all documents).
 The sample bounds what is broadcast and what comes to the driver: labels of the sample, its
-features of more than e-fold odds, three numbers for each sampled document, and the fixed table.
+features of more than e-fold odds, two numbers for each sampled document, and the fixed table.
 
 Null and empty texts get the score of a document without any toxic feature. Null labels are
 left out; of several labels of a document the largest holds. Rows are scored one by one, so
@@ -241,11 +241,11 @@ class Weights(dict):
             self[word] = w
         return w
 
-    def evidence(self, words: set[str]) -> tuple[float, float, float]:
-        """The two strongest weights of a document, and the logarithm of the others' sum."""
+    def evidence(self, words: set[str]) -> tuple[float, float]:
+        """The two strongest weights of a document."""
         found = sorted((w for w in map(self.__getitem__, words) if w > 0), reverse=True)
         top = [*found[:2], 0.0, 0.0]
-        return top[0], top[1], math.log1p(sum(found[2:]))
+        return top[0], top[1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Broadcast:
     """The character model from all docs and the classifier from the labelled sample."""
     spark = docs.sparkSession
     costs = triple_costs([(r[0], r[1]) for r in triple_counts(docs).collect()])
-    shared_costs = spark.sparkContext.broadcast((uuid.uuid4().hex, costs, {}, [0.0] * 4))
+    shared_costs = spark.sparkContext.broadcast((uuid.uuid4().hex, costs, {}, [0.0] * 3))
     rows = docs.select("doc_id", "text").join(F.broadcast(training_sample(labels, sample)), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Broadcast:
     weights = {r[0]: r[1] for r in strong.collect()}
     counts.unpersist()
 
-    beta = [math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -3.0, 0.0, 0.0, 0.0]
+    beta = [math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -3.0, 0.0, 0.0]
     if n1 and n0:
         unfit = spark.sparkContext.broadcast((uuid.uuid4().hex, costs, weights, beta))
 
@@ -325,10 +325,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Broadcast:
             model = model_of(unfit)
             for batch in (piece for whole in batches for piece in pieces_of(whole)):
                 out = [(*model.weights.evidence(words_of(t, model.restorer)), float(y > 0)) for t, y in zip(*(c.to_pylist() for c in batch.columns))]
-                yield arrow_rows(out, {"a": pa.float64(), "b": pa.float64(), "c": pa.float64(), "y": pa.float64()})
+                yield arrow_rows(out, {"a": pa.float64(), "b": pa.float64(), "y": pa.float64()})
 
-        points = np.array([tuple(r) for r in rows.mapInArrow(measure, "a double, b double, c double, y double").collect()])
-        beta = logistic(points[:, :3], points[:, 3]).tolist()
+        points = np.array([tuple(r) for r in rows.mapInArrow(measure, "a double, b double, y double").collect()])
+        beta = logistic(points[:, :2], points[:, 2]).tolist()
     return spark.sparkContext.broadcast((uuid.uuid4().hex, costs, weights, beta))
 
 
