@@ -81,7 +81,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "tex
     """Identity columns and `gone`: (start, n) of the later repeats, counted in lines that are not blank."""
     positions = cut(selected(line_hashes(docs, text), min_lines, min_words))
     twice = cut(positions.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print"))
-    extended = positions.join(twice, "print").select(ID, TH, F.inline("runs"))
+    # Written once, as it is read twice: positions would else be shuffled for each reading.
+    extended = cut(positions.join(twice, "print").select(ID, TH, F.inline("runs")))
     where = F.struct(ID, TH, "start")
     firsts = cut(extended.groupBy("n", "w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     later = extended.join(firsts, ["n", "w1", "w2"]).where(where > F.col("first"))
