@@ -1,12 +1,13 @@
 """Vector search: exact cosine, sign codes with Hamming distance, two-stage rescoring, recall.
 
 Queries are a table. They go over the vectors in broadcast blocks of at most BLOCK; each
-vector is read once a block, and only the k best of each query and task are shuffled.
+vector is read once a block, tasks multiply blocks of both as matrices, and only the k best of each
+query and task are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from lodestone.functions.vector import cosine, hamming, norm, normalized, sign_c
 
 #: Queries of one broadcast.
 BLOCK = 4096
+#: Vectors that a task multiplies with a block at a time.
+ROWS = 1024
 
 
 def with_norm(vectors: DataFrame) -> DataFrame:
@@ -71,65 +74,115 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """`qid`, `id`, `score`, `rank`: cosine top-k of each query (`qid`, `q`); zero norms score 0.
+class Best:
+    """The k best rows (scores, ids) of each of n queries, by the query's place."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.rows = k, np.full(n, -np.inf), {}
+
+    def add(self, places: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some queries (lines) for some rows (columns); only what may be among the best is looked at."""
+        for line in np.flatnonzero(scores.max(axis=1) >= self.least[places]) if len(ids) else ():
+            place, row = int(places[line]), scores[line]
+            some = np.flatnonzero(row >= self.least[place])
+            row, mine = row[some], ids[some]
+            if place in self.rows:
+                row, mine = np.concatenate([self.rows[place][0], row]), np.concatenate([self.rows[place][1], mine])
+            top = best_of(row, mine, self.k)
+            self.rows[place] = row[top], mine[top]
+            if len(top) == self.k:
+                self.least[place] = row[top[-1]]
+
+    def batches(self, qids: list, dims: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        for place, (scores, ids) in self.rows.items():
+            columns = [pa.array([qids[place]] * len(ids)), pa.array(ids.tolist()), pa.array(scores, pa.float64()), pa.array([dims[place]] * len(ids), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score", "dims"])
+
+
+def by_length(rows: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Rows whose list has one length, and the lists as a matrix; null and empty lists take no part."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(rows.column(column)), -1))
+    for size in np.unique(lengths[lengths > 0]).tolist():
+        chosen = rows.take(pa.array(np.flatnonzero(lengths == size)))
+        yield size, chosen, chosen.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each line of one matrix with each of the other; 0 where a norm vanishes."""
+    length = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+    return np.where(length < 1e-10, 0.0, (q @ v.T) / np.maximum(length, 1e-300))
 
-    Queries go in broadcast blocks; a task multiplies its vectors with a block as matrices and sends
-    on the k best of each query, so what is shuffled does not grow with the vectors. Vectors of
-    another length than a query's do not meet it.
+
+def asked_by_length(queries: DataFrame) -> tuple[list, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Ids of a block of queries (`qid`, `q`), and by length of the list their places and a matrix."""
+    rows = queries.select("qid", "q").where("q IS NOT NULL").collect()  # a block's rows
+    places: dict[int, list[int]] = {}
+    for place, r in enumerate(rows):
+        places.setdefault(len(r["q"]), []).append(place)
+    return [r["qid"] for r in rows], {size: (np.array(mine), np.array([rows[p]["q"] for p in mine])) for size, mine in places.items() if size}
+
+
+def dealt(vectors: DataFrame) -> DataFrame:
+    """Vectors dealt out by id: each costs a product with every query, however few files hold them."""
+    return vectors.where("id IS NOT NULL").repartition("id")
+
+
+def best_rows(stored: DataFrame, queries: DataFrame, k: int, scores_of: Callable) -> DataFrame:
+    """`qid`, `id`, `score`, `dims` (the lists' length): the k best of each query and task, in broadcast blocks of queries.
+
+    stored has `id` and a list; `scores_of(queries, lists)`, with places and lists of queries, yields places,
+    their scores and the ids these are of. Tasks send on k rows of a query, so what is shuffled
+    and sorted does not grow with the pairs.
     """
-    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", stored.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("dims", T.IntegerType())])
     out = None
     for part in blocks(queries):
-        asked = part.select("qid", "q").where("q IS NOT NULL").collect()  # at most BLOCK rows
-        shared = vectors.sparkSession.sparkContext.broadcast([(r["qid"], np.array(r["q"], float)) for r in asked])
+        shared = stored.sparkSession.sparkContext.broadcast(asked_by_length(part.select("qid", "q")))
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            sides = {}
-            for place, (_, q) in enumerate(shared.value):
-                sides.setdefault(len(q), []).append(place)
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            qids, sides = shared.value
+            best = Best(len(qids), k)
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    rows = batch.slice(at, 1024)
-                    dims = np.asarray(pc.fill_null(pc.list_value_length(rows.column(1)), -1))
-                    for size, places in sides.items():
-                        mine = np.flatnonzero(dims == size)
-                        if not len(mine):
-                            continue
-                        chosen = rows.take(pa.array(mine))
-                        ids = np.array(chosen.column(0).to_pylist(), object)
-                        v = chosen.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(mine), size)
-                        q = np.array([shared.value[p][1] for p in places])
-                        length = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-                        scores = np.where(length < 1e-10, 0.0, (q @ v.T) / np.maximum(length, 1e-300)).round(6) + 0.0
-                        for row, place in zip(scores, places):
-                            old = best.get(place)
-                            if old is not None and len(old[0]) == k and row.max() < old[0][-1]:
-                                continue
-                            all_scores, all_ids = (row, ids) if old is None else (np.concatenate([old[0], row]), np.concatenate([old[1], ids]))
-                            top = best_of(all_scores, all_ids, k)
-                            best[place] = all_scores[top], all_ids[top]
-            for place, (found, ids) in best.items():
-                columns = [pa.array([shared.value[place][0]] * len(ids)), pa.array(ids.tolist()), pa.array(found, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score"])
-
-        found = vectors.select("id", "v").where("id IS NOT NULL").mapInArrow(run, schema)
+                for at in range(0, batch.num_rows, ROWS):
+                    for size, rows, lists in by_length(batch.slice(at, ROWS), 1):
+                        if size in sides:
+                            ids = np.array(rows.column(0).to_pylist(), object)
+                            for places, scores, some in scores_of(sides[size], lists):
+                                best.add(places, scores, ids[some])
+            yield from best.batches(qids, {p: size for size, (mine, _) in sides.items() for p in mine.tolist()})
+
+        found = stored.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return ranked(out, k, F.desc("score"))
+    return out
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """`qid`, `id`, `score`, `rank`: cosine top-k of each query (`qid`, `q`); zero norms score 0.
+
+    Queries go in broadcast blocks; a task multiplies its vectors with a block as matrices. Vectors
+    of another length than a query's do not meet it.
+    """
+
+    def scores_of(side: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+        yield side[0], cosines(side[1].astype(float), v.astype(float)).round(6) + 0.0, slice(None)
+
+    return ranked(best_rows(dealt(vectors.select("id", "v")), queries, k, scores_of).drop("dims"), k, F.desc("score"))
 
 
 def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """`qid`, `id`, `distance`, `similarity`, `rank` by sign codes."""
-    stored = with_code(vectors).select("id", "code", F.size("v").alias("dims"))
-    out = None
-    for part in blocks(queries):
-        asked = F.broadcast(part.select("qid", sign_code(F.col("q")).alias("q_code")))
-        distance = hamming(F.col("code"), F.col("q_code"))
-        scored = stored.join(asked).select("qid", "id", "dims", distance.alias("distance"))
-        found = ranked(scored, k, F.col("distance"))
-        out = found if out is None else out.unionByName(found)
-    return out.select("qid", "id", "distance", F.round(1 - F.col("distance") / F.col("dims"), 6).alias("similarity"), "rank")
+    """`qid`, `id`, `distance`, `similarity`, `rank` by sign codes; vectors of another length than a query's do not meet it."""
+
+    def words(v: np.ndarray) -> np.ndarray:
+        codes = np.packbits(v > 0, axis=1, bitorder="little")
+        return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
+
+    def scores_of(side: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+        mine, theirs = words(side[1]), words(v)
+        yield side[0], -sum(np.bitwise_count(mine[:, i, None] ^ theirs[None, :, i]).astype(float) for i in range(mine.shape[1])), slice(None)
+
+    found = best_rows(dealt(vectors.select("id", "v")), queries, k, scores_of)
+    near = ranked(found.select("qid", "id", "dims", (-F.col("score")).cast("bigint").alias("distance")), k, F.col("distance"))
+    return near.select("qid", "id", "distance", F.round(1 - F.col("distance") / F.col("dims"), 6).alias("similarity"), "rank")
 
 
 def rescored_top_k(vectors: DataFrame, queries: DataFrame, k: int, factor: int = 20, candidates: int | None = None) -> DataFrame:
@@ -158,31 +211,33 @@ def index_sizes(vectors: DataFrame) -> DataFrame:
     )
 
 
-def cell_of(v: Column, centres: Column) -> Column:
-    """Number of the nearest of several centres (unit vectors)."""
-    dot = lambda c: F.aggregate(F.zip_with(v, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.array_max(F.transform(centres, lambda c, i: F.struct(dot(c).alias("near"), (-i).alias("minus"))))["minus"] * -1
-
-
 def ivf_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, share: float = 0.82) -> DataFrame:
     """Approximate top-k: every vector lies in the cell of its nearest centre, a query looks into its nearest `share` of the cells.
 
-    Centres are a bounded sample (`cells` vectors, by hash); every vector is indexed. Where
-    vectors have no structure, recall is little more than the share; where they have, a smaller
-    share does. Queries meet vectors by cell, in blocks of bounded size.
+    Centres are a bounded sample (`cells` vectors, by hash); every vector is indexed, those of a
+    length that no centre has in one cell. Where vectors have no structure, recall is little more
+    than the share; where they have, a smaller share does. In a task the vectors of a cell are
+    multiplied with the queries that look into it.
     """
-    stored = with_norm(vectors).where("norm > 0")
-    chosen = stored.orderBy(F.xxhash64("id"), "id").limit(cells).select(normalized(F.col("v")).alias("c"))
-    centres = F.broadcast(chosen.agg(F.collect_list("c").alias("centres")))
-    placed = stored.join(centres).select("id", "v", "norm", cell_of(F.col("v"), F.col("centres")).alias("cell"))
-    out = None
-    for part in blocks(queries):
-        near = F.slice(F.sort_array(F.transform("centres", lambda c, i: F.struct(F.aggregate(F.zip_with("q", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("near"), i.alias("cell"))), False), 1, max(1, round(share * cells)))
-        asked = part.join(centres).select("qid", "q", F.explode(near).alias("n")).select("qid", "q", F.col("n.cell").alias("cell"))
-        score = F.round(cosine(F.col("v"), F.col("q"), F.col("norm"), norm(F.col("q"))), 6)
-        found = placed.join(F.broadcast(asked), "cell").select("qid", "id", score.alias("score"))
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, k, F.desc("score"))
+    stored = with_norm(vectors).where("norm > 0").select("id", "v")
+    chosen = stored.orderBy(F.xxhash64("id"), "id").limit(cells).select(normalized(F.col("v")).alias("c")).collect()
+    centres = [np.array(r["c"], float) for r in chosen]
+    look = max(1, round(share * cells))
+
+    def nearness(v: np.ndarray) -> np.ndarray:
+        return v @ np.array([c for c in centres if len(c) == v.shape[1]] or [np.zeros(v.shape[1])]).T
+
+    def scores_of(side: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        places, q = side[0], side[1].astype(float)
+        v = v.astype(float)
+        cell = nearness(v).argmax(axis=1)
+        looks = np.argsort(-nearness(q), axis=1, kind="stable")[:, :look]
+        for c in np.unique(cell):
+            some, mine = np.flatnonzero(cell == c), np.flatnonzero((looks == c).any(axis=1))
+            if len(mine):
+                yield places[mine], cosines(q[mine], v[some]).round(6) + 0.0, some
+
+    return ranked(best_rows(dealt(stored), queries, k, scores_of).drop("dims"), k, F.desc("score"))
 
 
 def distances(vectors: DataFrame, query: DataFrame) -> DataFrame:

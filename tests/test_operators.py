@@ -76,6 +76,18 @@ def test_approximate_recall(spark, sf_dir):
     assert vectors.recall(exact, near, 10).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_approximate_search_joins_no_pairs(spark):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("id"), F.array(F.col("id") - 20.5, F.lit(1.0), F.col("id") % 3 - 0.5).alias("v"))
+    queries = rows.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    near, exact = vectors.ivf_top_k(rows, queries, 3, 4, 1.0), vectors.batch_top_k(rows, queries, 3)
+    assert "Join" not in plan_of(near)
+    assert sorted(near.collect()) == sorted(exact.collect())
+
+
 def test_search_terms(spark):
     docs = spark.createDataFrame([("1", "Quantum theory of light", ["science"]), ("2", "Gardening for all", ["home"]), ("3", "", [])], "id string, body string, tags array<string>")
     indexed = fts.field_tokens(docs, fts.body_and_tags())
