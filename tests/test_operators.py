@@ -88,6 +88,16 @@ def test_approximate_search_joins_no_pairs(spark):
     assert sorted(near.collect()) == sorted(exact.collect())
 
 
+def test_codes_join_no_pairs(spark):
+    rows = spark.createDataFrame([(str(i), [float((i >> b & 1) * 2 - 1) for b in range(70)]) for i in range(64)], "id string, v array<double>")
+    queries = rows.where("id in ('5', '9')").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    near = vectors.hamming_top_k(rows, queries, 4)
+    assert "Join" not in plan_of(near)
+    brute = {q: sorted((bin(i ^ q).count("1"), str(i)) for i in range(64))[:4] for q in (5, 9)}
+    assert {q: [(r.distance, r.id) for r in near.where(F.col("qid") == str(q)).orderBy("rank").collect()] for q in (5, 9)} == brute
+    assert near.where("rank = 4").first().similarity == round(1 - 1 / 70, 6)
+
+
 def test_search_terms(spark):
     docs = spark.createDataFrame([("1", "Quantum theory of light", ["science"]), ("2", "Gardening for all", ["home"]), ("3", "", [])], "id string, body string, tags array<string>")
     indexed = fts.field_tokens(docs, fts.body_and_tags())
