@@ -6,15 +6,19 @@ sentence chunker are expressions; that one is a running fold over each text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import strip, utf8_prefix
-from lodestone.functions.vector import cosine, norm
-from lodestone.operators.vectors import blocks, ranked
+from lodestone.operators.vectors import asked_by_length, blocks, by_length, cosines, ranked
 
 SIZE, OVERLAP, LEAST = 512, 64, 32
 
@@ -109,13 +113,49 @@ def sentences(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFram
 STRATEGIES = {"fixed": fixed, "paragraph": paragraphs, "sentence": sentences, "markdown": sections}
 
 
+#: Queries whose scores for a batch of chunks a task holds at a time.
+SIDE = 256
+
+
 def pair_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """`qid`, `doc`, `chunk`, `score` of every chunk vector for query vectors, in blocks of bounded size."""
-    stored, out = chunks.withColumn("norm", norm(F.col("v"))), None
+    """`qid`, `doc`, `chunk`, `score` of each document's best chunk of a batch for query vectors, as `max_sim` gathers them.
+
+    Queries go in broadcast blocks. A task multiplies its chunks with them as matrices and sends on one
+    row of a query and document for each batch, not one of each pair; equal to 9 places, the first chunk stays.
+    """
+    types = [T.StructField(n, f.dataType) for n, f in (("qid", queries.schema["qid"]), ("doc", chunks.schema["doc"]), ("chunk", chunks.schema["chunk"]))]
+    dealt, out = chunks.select("doc", "chunk", "v").repartition("doc", "chunk"), None
     for part in blocks(queries):
-        asked = F.broadcast(part.select("qid", "q", norm(F.col("q")).alias("q_norm")))
-        score = cosine(F.col("v"), F.col("q"), F.col("norm"), F.col("q_norm"))
-        found = stored.join(asked).select("qid", "doc", "chunk", score.alias("score"))
+        shared = chunks.sparkSession.sparkContext.broadcast(asked_by_length(part))
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            qids, sides = shared.value
+            for batch in batches:
+                for size, rows, lists in by_length(batch, 2):
+                    if size not in sides:
+                        continue
+                    code = pc.dictionary_encode(rows.column(0), null_encoding="encode")
+                    keys = pa.table({"doc": code.indices, "chunk": rows.column(1)})
+                    order = np.asarray(pc.sort_indices(keys, [("doc", "ascending"), ("chunk", "ascending")]))
+                    docs, v = np.asarray(code.indices)[order], lists[order].astype(float)
+                    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+                    counts = np.diff(np.append(first, len(docs)))
+                    places, q = sides[size]
+                    for at in range(0, len(places), SIDE):
+                        scores = cosines(q[at : at + SIDE].astype(float), v)
+                        near = scores.round(9)
+                        best = near == np.repeat(np.maximum.reduceat(near, first, axis=1), counts, axis=1)
+                        spot = np.minimum.reduceat(np.where(best, np.arange(len(docs)), len(docs)), first, axis=1)
+                        n = len(scores)
+                        columns = [
+                            pa.array([qids[p] for p in places[at : at + n] for _ in first]),
+                            code.dictionary.take(pa.array(np.tile(docs[first], n))),
+                            rows.column(1).take(pa.array(order[spot.ravel()])),
+                            pa.array(np.maximum.reduceat(scores, first, axis=1).ravel()),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, names=["qid", "doc", "chunk", "score"])
+
+        found = dealt.mapInArrow(run, T.StructType([*types, T.StructField("score", T.DoubleType())]))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -98,6 +98,15 @@ def test_codes_join_no_pairs(spark):
     assert near.where("rank = 4").first().similarity == round(1 - 1 / 70, 6)
 
 
+def test_best_chunks_join_no_pairs(spark):
+    rows = spark.createDataFrame([(i % 3 or None, i, [float(i % 5), 1.0]) for i in range(30)], "doc int, chunk long, v array<double>")
+    queries = rows.where("chunk < 2").select(F.col("chunk").alias("qid"), F.col("v").alias("q"))
+    pairs = chunks.pair_scores(rows, queries)
+    assert "Join" not in plan_of(pairs)
+    got = {(r.qid, r.doc): (round(r.score, 6), r.best_chunk) for r in chunks.max_sim(pairs).collect()}
+    assert len(got) == 6 and got[0, 1] == (1.0, 10) and got[0, None] == (1.0, 0) and got[1, 1] == (1.0, 1) and got[1, 2] == (1.0, 11)
+
+
 def test_search_terms(spark):
     docs = spark.createDataFrame([("1", "Quantum theory of light", ["science"]), ("2", "Gardening for all", ["home"]), ("3", "", [])], "id string, body string, tags array<string>")
     indexed = fts.field_tokens(docs, fts.body_and_tags())
