@@ -37,13 +37,13 @@ def _seeds(spark: SparkSession, *names: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EDGES}, {reach_sql(2)} SELECT * FROM seen")
 def graph_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs(tables.edges(spark, sf_dir), _seeds(spark, "c1"), 2)
+    return graph.bfs(tables.links(spark, sf_dir), _seeds(spark, "c1"), 2)
 
 
 @query(f"WITH RECURSIVE {EDGES}, {reach_sql(2)} SELECT id FROM seen WHERE id LIKE 'o%' OR id LIKE 'c%'")
 def graph_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reached ids that exist in a node table: here customers and orders."""
-    seen = graph.bfs(tables.edges(spark, sf_dir), _seeds(spark, "c1"), 2)
+    seen = graph.bfs(tables.links(spark, sf_dir), _seeds(spark, "c1"), 2)
     customers = tables.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     stored = customers.union(tables.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id")))
     return seen.join(stored, "id", "left_semi").select("id")
@@ -52,12 +52,12 @@ def graph_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {EDGES}, {reach_sql(2)} SELECT DISTINCT e.id, edge_type, source, target, weight FROM edges e JOIN seen s ON (e.source = s.id OR e.target = s.id) WHERE depth < 2")
 def graph_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = tables.edges(spark, sf_dir)
-    return graph.subgraph_edges(edges, graph.bfs(edges, _seeds(spark, "c1"), 2), 2).drop("seed")
+    return graph.subgraph_edges(edges, graph.bfs(tables.links(spark, sf_dir), _seeds(spark, "c1"), 2), 2).drop("seed")
 
 
 @query(f"WITH RECURSIVE {EDGES}, {reach_sql(1)} SELECT id, depth FROM seen")
 def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs(tables.edges(spark, sf_dir), _seeds(spark, "c1"), 1).select("id", "depth")
+    return graph.bfs(tables.links(spark, sf_dir), _seeds(spark, "c1"), 1).select("id", "depth")
 
 
 @query(

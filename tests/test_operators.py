@@ -107,6 +107,21 @@ def test_best_chunks_join_no_pairs(spark):
     assert len(got) == 6 and got[0, 1] == (1.0, 10) and got[0, None] == (1.0, 0) and got[1, 1] == (1.0, 1) and got[1, 2] == (1.0, 11)
 
 
+def test_walks_keep_only_what_they_reach(spark, monkeypatch):
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(cut(df)) or written[-1])
+    ring = spark.range(50).select(F.col("id").cast("string").alias("source"), ((F.col("id") + 1) % 50).cast("string").alias("target"), F.lit(2.0).alias("weight"))
+    assert len(ids(graph.bfs(ring, seeds(spark, "7"), 2))) == 5
+    assert max(df.count() for df in written) == 2
+    written.clear()
+    ranks = {r.id: r.score for r in graph.pagerank(ring, spark.createDataFrame([("s", "7")], "seed_set string, seed string"), 0.5, 10).collect()}
+    assert sorted(df.count() for df in written)[:-1] == [1] * 11
+    want = {7: 1.0}
+    for _ in range(10):
+        want = {7: 0.5} | {n + 1: s * 0.5 for n, s in want.items()}
+    assert {int(n): s for n, s in ranks.items()} == pytest.approx(want)
+
+
 def test_search_terms(spark):
     docs = spark.createDataFrame([("1", "Quantum theory of light", ["science"]), ("2", "Gardening for all", ["home"]), ("3", "", [])], "id string, body string, tags array<string>")
     indexed = fts.field_tokens(docs, fts.body_and_tags())
