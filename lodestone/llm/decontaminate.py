@@ -122,6 +122,11 @@ class Items:
             for b in range(4):
                 values = (self.prints[members] >> np.uint64(16 * b)).astype(np.uint32) & 0xFFFF
                 near = (values[:, None] ^ masks[None, :]).ravel()
+                if len(members) <= FEW:  # which of them is near is not looked up
+                    known = np.zeros(65536, bool)
+                    known[near] = True
+                    blocks.append((known, None, None, None))
+                    continue
                 owner = np.repeat(np.array(members, np.int32), len(masks))
                 order = np.argsort(near, kind="stable")
                 counts = np.bincount(near, minlength=65536).astype(np.int32)

@@ -321,3 +321,12 @@ def test_pipeline_stages_of_odd_rows(spark, messy, tmp_path):
             assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
         docs = spark.createDataFrame(rows, out.schema).cache()
     assert None in {r.doc_id for r in rows} and {3, 4, 5} <= {r.doc_id for r in rows} and 20 not in {r.doc_id for r in rows}
+
+
+def test_index_of_few_items_a_size_is_small():
+    """Sizes of a few items keep which values are near, not whose they are."""
+    from lodestone.llm import decontaminate
+
+    known = decontaminate.Items([(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(2, 60)], 15, 0.8)
+    held = sum(a.nbytes for _, blocks in known.index.values() for block in blocks for a in block if a is not None)
+    assert held <= 58 * 4 * 65536
