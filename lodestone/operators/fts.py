@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Terms whose weights are broadcast.
+FEW = 100_000
 
 
 def field_tokens(nodes: DataFrame, fields: dict[str, Column]) -> DataFrame:
@@ -42,11 +44,17 @@ def statistics(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
+def if_few(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """df, to be broadcast if the terms are few: rows with a frequent term then stay where they lie."""
+    return F.broadcast(df) if terms.select("term").distinct().limit(FEW + 1).count() <= FEW else df
+
+
 def matching(indexed: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the asked terms only: the filter comes before the shuffle."""
     each = indexed.select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    asked = terms.select("term").distinct()
-    return each.join(asked, "term", "left_semi").groupBy("id", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    asked = if_few(terms.select("term").distinct(), terms)
+    # Dealt by document, so that its postings and its scores for all queries are made where they lie.
+    return each.join(asked, "term", "left_semi").repartition("id").groupBy("id", "field", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25_of(found: DataFrame, statistics: DataFrame, queries: DataFrame) -> DataFrame:
@@ -58,10 +66,13 @@ def bm25_of(found: DataFrame, statistics: DataFrame, queries: DataFrame) -> Data
     asked = asked.groupBy("qid", "term").agg(F.max("weight").alias("weight"))
     frequency = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     weights = frequency.join(F.broadcast(statistics), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # One row a term with all its queries.
+    asking = asked.groupBy("term").agg(F.collect_list(F.struct("qid", "weight")).alias("asking"))
+    weights = weights.select("field", "term", "idf", "avgdl").join(asking, "term")
     tf, dl = F.col("tf"), F.col("dl")
     score = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = found.join(weights, ["field", "term"]).select("id", "term", score.alias("part"))
-    return scored.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    scored = found.join(if_few(weights, queries), ["field", "term"]).select("id", score.alias("part"), F.inline("asking"))
+    return scored.groupBy("qid", "id").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
 
 
 def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:

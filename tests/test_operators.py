@@ -122,6 +122,24 @@ def test_walks_keep_only_what_they_reach(spark, monkeypatch):
     assert {int(n): s for n, s in ranks.items()} == pytest.approx(want)
 
 
+def test_texts_meet_labels_only_where_those_repeat(spark, sf_dir, tmp_path):
+    from lodestone.sources import tables
+
+    assert "Join" not in plan_of(tables.texts(spark, sf_dir))
+    spark.createDataFrame([(1, "a", "de", "src1", 1), (2, "b", "en", "src2", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert ids(tables.texts(spark, str(tmp_path))) == ["1", "1", "2"]
+
+
+def test_frequent_terms_are_not_dealt_by_term(spark):
+    docs = spark.createDataFrame([(str(n), "the cat" if n % 2 else "the", []) for n in range(6)], "id string, body string, tags array<string>")
+    indexed = fts.field_tokens(docs, fts.body_and_tags())
+    scored = fts.bm25(indexed, spark.createDataFrame([(q, t) for q in range(3) for t in ("the", "cat")], "qid long, term string"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [field" not in plan and "LeftSemi, BuildRight" in plan
+    assert scored.count() == 18
+
+
 def test_search_terms(spark):
     docs = spark.createDataFrame([("1", "Quantum theory of light", ["science"]), ("2", "Gardening for all", ["home"]), ("3", "", [])], "id string, body string, tags array<string>")
     indexed = fts.field_tokens(docs, fts.body_and_tags())
