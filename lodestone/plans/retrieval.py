@@ -50,7 +50,7 @@ TERM_QUERIES = ", queries AS (SELECT 0::BIGINT AS qid, unnest(['the', 'elle']) A
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.field_tokens(tables.nodes(spark, sf_dir), fts.body_and_tags())
+    return fts.field_tokens(tables.texts(spark, sf_dir), fts.body_and_tags())
 
 
 def _terms(spark: SparkSession, *terms: str) -> DataFrame:
