@@ -7,7 +7,10 @@ words of any length are handled alike.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,6 +128,14 @@ def arrow_map(df: DataFrame, rows_of: Callable[..., Iterator[tuple]], schema: st
 _held: dict[str, tuple[object, object]] = {}
 
 
+def given_back() -> None:
+    """What is free in this process goes back to the system: else it stays with the worker as long as that lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(kind: str, key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one thing at a time.
 
@@ -132,5 +143,11 @@ def held(kind: str, key: object, make: Callable[[], object]) -> object:
     """
     if kind not in _held or _held[kind][0] != key:
         _held.clear()
+        given_back()
         _held[kind] = key, make()
     return _held[kind][1]
+
+
+def holds_nothing(kind: str) -> None:
+    """For operators that keep nothing between tasks: what others left goes."""
+    held(kind, None, lambda: None)

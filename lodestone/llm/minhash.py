@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import arrow_rows, mixed, pieces_of, run_hashes, word_hashes
+from lodestone.llm.arrays import arrow_rows, holds_nothing, mixed, pieces_of, run_hashes, word_hashes
 from lodestone.llm.common import ID, TH, cut, keyed, table
 from lodestone.llm.components import components
 
@@ -170,6 +170,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     types = {ID: pa.int64(), TH: pa.int64(), "text_id": pa.binary(), "keys": pa.list_(pa.int64()), "s1": pa.int64(), "s2": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_nothing("minhash")
         for batch in (piece for whole in batches for piece in pieces_of(whole)):
             found = [columns_of(text) for text in batch.column(2).to_pylist()]
             drawn = iter(dart_signatures([columns for text_id, columns in found if text_id], bands * rows))

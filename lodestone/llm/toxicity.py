@@ -41,12 +41,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import arrow_rows, held, pieces_of
+from lodestone.llm.arrays import arrow_rows, held, holds_nothing, pieces_of
 from lodestone.llm.common import table
 
 SAMPLE = 30_000
 #: Words and spots of at most LONGEST characters that a worker remembers before it starts anew (about 10 MB).
 REMEMBERED, LONGEST = 50_000, 48
+#: Features that a task counts before it sends their counts on, and those sent at a time.
+COUNTED, SENT = 50_000, 10_000
 #: Letters that other characters are written for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e"}
 #: Letters of other scripts and the Latin ones they look like.
@@ -135,6 +137,7 @@ def triple_counts(docs: DataFrame) -> DataFrame:
     """`triple`, `n`: how often each triple of letter classes occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_nothing("triples")
         total = np.zeros(CLASSES**3, np.int64)
         for batch in (piece for whole in batches for piece in pieces_of(whole)):
             c = np.concatenate([classes_of(f"  {(t or '').lower()}  ") for t in batch.column(0).to_pylist()] or [np.zeros(2, np.int64)])
@@ -289,6 +292,30 @@ def model_of(shared: Broadcast) -> Model:
     return held("toxicity", shared.value[0], lambda: Model(*shared.value[1:]))
 
 
+def feature_counts(batches: Iterator[pa.RecordBatch], restorer: Restorer) -> Iterator[pa.RecordBatch]:
+    """`feature`, `toxic`, `clean`: documents (`text`, `toxic`) with a feature, of each label; '' is in all.
+
+    A feature may come more than once, with counts to be added: what a task holds doesn't grow with its texts.
+    """
+    seen, types = (Counter(), Counter()), {"feature": pa.string(), "toxic": pa.int64(), "clean": pa.int64()}
+
+    def so_far() -> Iterator[pa.RecordBatch]:
+        features = [*(seen[0].keys() | seen[1].keys())]
+        for at in range(0, len(features), SENT):
+            yield arrow_rows([(f, seen[1][f], seen[0][f]) for f in features[at : at + SENT]], types)
+        for side in seen:
+            side.clear()
+
+    for batch in (piece for whole in batches for piece in pieces_of(whole)):
+        for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+            side = seen[int(toxic > 0)]
+            side[""] += 1
+            side.update({f for w in words_of(text, restorer) for f in features_of(w)})
+            if len(seen[0]) + len(seen[1]) > COUNTED:
+                yield from so_far()
+    yield from so_far()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Broadcast:
     """The character model from all docs and the classifier from the labelled sample."""
     spark = docs.sparkSession
@@ -297,14 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Broadcast:
     rows = docs.select("doc_id", "text").join(F.broadcast(training_sample(labels, sample)), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = model_of(shared_costs).restorer, (Counter(), Counter())
-        for batch in (piece for whole in batches for piece in pieces_of(whole)):
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                side = seen[int(toxic > 0)]
-                side[""] += 1
-                side.update({f for w in words_of(text, restorer) for f in features_of(w)})
-        types = {"feature": pa.string(), "toxic": pa.int64(), "clean": pa.int64()}
-        yield arrow_rows([(f, seen[1][f], seen[0][f]) for f in seen[0].keys() | seen[1].keys()], types)
+        return feature_counts(batches, model_of(shared_costs).restorer)
 
     counts = rows.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
     # Features of one toxic document or none say nothing; the document counts are the feature ''.

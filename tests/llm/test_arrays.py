@@ -38,3 +38,13 @@ def test_pieces_are_bounded_by_bytes_and_rows():
         assert pa.Table.from_batches(pieces).column("i").to_pylist() == list(range(40))
         assert all(p.num_rows <= rows and (sum(len(t or "") for t in p.column(1).to_pylist()) <= max(size, 100)) for p in pieces)
     assert list(arrays.pieces_of(batch.slice(0, 0))) == []
+
+
+def test_what_another_operator_left_goes_back_to_the_system(monkeypatch):
+    freed = []
+    monkeypatch.setattr(arrays, "given_back", lambda: freed.append(dict(arrays._held)))
+    arrays.held("a", 1, lambda: "model")
+    assert arrays.held("a", 1, lambda: "another") == "model" and freed == [{}]
+    arrays.holds_nothing("b")
+    arrays.holds_nothing("b")
+    assert "a" not in arrays._held and freed == [{}, {}]

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,23 @@ def test_long_spots_are_restored_in_linear_time():
     assert len(restorer.viterbi(list("a1" * 50_000))[1]) >= 50_000
 
 
+def test_toxicity_counts_features_in_parts(monkeypatch):
+    texts = [f"word{'abcdefghij'[n % 10]} only{'abcdefghij'[n // 10]}{'klmnopqrst'[n % 10]}" for n in range(100)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([n % 2 for n in range(102)], pa.int64())], names=["text", "toxic"])
+    restorer, want = toxicity.Restorer(toxicity.triple_costs([])), {}
+    for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+        for f in {"", *(f for w in toxicity.words_of(text, restorer) for f in toxicity.features_of(w))}:
+            want.setdefault(f, [0, 0])[1 - toxic] += 1
+    monkeypatch.setattr(toxicity, "COUNTED", 20)
+    monkeypatch.setattr(toxicity, "SENT", 7)
+    got = {}
+    for part in toxicity.feature_counts(iter([batch, batch.slice(0, 0)]), restorer):
+        assert part.num_rows <= 7
+        for f, n1, n0 in zip(*(c.to_pylist() for c in part.columns)):
+            got[f] = [a + b for a, b in zip(got.get(f, [0, 0]), (n1, n0))]
+    assert got == want and want[""] == [51, 51]
+
+
 def test_toxicity_messy(spark, messy, labelled):
     _, labels = labelled
     empty = labels.limit(0)
