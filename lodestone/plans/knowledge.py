@@ -106,7 +106,7 @@ def edges_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGES} SELECT source AS id, edge_type, count(*)::BIGINT AS degree, round(sum(weight), 6) AS weight FROM edges GROUP BY source, edge_type")
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.edges(spark, sf_dir).groupBy(F.col("source").alias("id"), "edge_type").agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 6).alias("weight"))
+    return tables.degrees(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
 # --- time ------------------------------------------------------------------------------

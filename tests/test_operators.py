@@ -377,3 +377,19 @@ def test_documents_are_embedded_and_ranked(spark):
     query = pieces.where("doc = 'd2' AND chunk = 0").select(F.lit("q").alias("qid"), F.col("v").alias("q"))
     best = chunks.rank_documents(pieces.select("doc", "chunk", "v"), query, 1).first()
     assert (best.doc, best.best_chunk, best["rank"]) == ("d2", 0, 1)
+
+
+def test_degrees_are_summed_in_parts_that_follow_the_rows(spark, sf_dir, tmp_path, monkeypatch):
+    from lodestone.sources import tables
+
+    made = {"customer": ("c_custkey long, c_nationkey long", [(1, None), (2, None), (3, 7)]), "orders": ("o_orderkey long, o_custkey long", [(1, None), (2, 7), (3, 7), (None, 7)])}
+    made["supplier"] = ("s_suppkey long, s_nationkey long", [(1, 7), (1, 8), (None, 7)])
+    made["lineitem"] = ("l_orderkey long, l_suppkey long, l_quantity double", [(1, 1, 2.0), (1, 1, 3.0), (1, None, 4.0), (1, None, None), (None, 1, 1.0), (2, 2, None)])
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.id, r.edge_type): (r.degree, r.weight) for r in QUERIES["degree_stats"](spark, str(tmp_path)).collect()}
+    want = {(None, "has_part"): (3, 3.0), ("n7", "has_part"): (1, 1.0), ("c7", "has_part"): (3, 3.0), ("o1", "references"): (2, 9.0), (None, "references"): (1, 1.0), ("o2", "references"): (1, None)}
+    assert got == want | {("s1", "is_a"): (2, 2.0), (None, "is_a"): (1, 1.0)}
+    monkeypatch.setattr(tables, "SUMMED", 500)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert tables._referred(spark, sf_dir).rdd.getNumPartitions() == -(-rows // 500)
