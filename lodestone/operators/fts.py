@@ -3,14 +3,15 @@
 A query is a table (`qid`, `term`) or a clause: terms, phrases, ranges and tags of a field, put
 together with `all_of`, `any_of` and `none_of`, each with a boost of its own. Terms join postings,
 so only matching postings are shuffled and scored; the corpus statistics are two numbers and one
-row for each term. Postings can be stored (`stored_postings`): a search then reads its terms'
-partitions alone and no text.
+row for each term. Postings can be stored (`stored_postings`): a search then reads the pages of
+its terms alone and no text.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,19 +81,44 @@ def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:
     return bm25_of(matching(indexed, queries), statistics(indexed), queries)
 
 
-#: Partitions that stored postings are dealt to by term.
-BUCKETS = 64
-STORED = "id string, field string, term string, dl int, tf bigint, positions array<int>, bucket int"
+STORED = "id string, field string, term string, dl int, tf bigint, positions array<int>"
 LENGTHS = "id string, field string, dl int"
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once and not at each of its places."""
+    return F.transform(F.array(value), use)[0]
+
+
+def terms_of(tokens_of: Column) -> Column:
+    """Array of (term, sorted positions) of a token list: tokens are sorted, each run of equal ones is a term."""
+
+    def runs(terms: Column, places: Column) -> Column:
+        starts = F.array_compact(F.transform(terms, lambda t, i: F.when((i == 0) | (t != F.get(terms, i - 1)), i)))
+        until = lambda ends, j: F.coalesce(F.get(ends, j + 1), F.size(terms))
+        return _bound(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.get(terms, at).alias("term"), F.slice(places, at + 1, until(s, j) - at).alias("positions"))))
+
+    placed = F.sort_array(F.transform(tokens_of, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    return _bound(placed, lambda p: _bound(p["term"], lambda terms: _bound(p["pos"], lambda places: runs(terms, places))))
 
 
 def stored_postings(indexed: DataFrame) -> DataFrame:
-    """Postings with the `bucket` of their term, sorted for writing: few row groups hold a term."""
-    return postings(indexed).withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term")
+    """Postings of each row, made and sorted for writing where its text lies: in each file few pages hold a term.
+
+    Nothing is shuffled, so what lies on disk besides the result is what tasks that run now sort. Rows that share
+    id, field and length are put together by `of_terms`.
+    """
+    # Tokens end here: they would be copied once for each term.
+    rows = indexed.where(F.size("tokens") > 0).select("id", "field", F.size("tokens").alias("dl"), terms_of(F.col("tokens")).alias("terms"))
+    # Not inline, for which the plan makes the terms twice, first to see whether there are any.
+    each = rows.select("id", "field", "dl", F.inline_outer("terms"))
+    return each.select("id", "field", "term", "dl", F.size("positions").cast("bigint").alias("tf"), "positions").sortWithinPartitions("term")
+
+
+def of_terms(stored: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows of the asked terms from stored postings, as `matching` makes them from texts."""
+    each = stored.where(term_filter(terms)).select("id", "field", "term", "dl", "tf")
+    return each.repartition("id").groupBy("id", "field", "term", "dl").agg(F.sum("tf").alias("tf"))
 
 
 def lengths(indexed: DataFrame) -> DataFrame:
@@ -100,6 +126,11 @@ def lengths(indexed: DataFrame) -> DataFrame:
     return indexed.select("id", "field", F.size("tokens").alias("dl"))
 
 
+def stored_lengths(stored: DataFrame) -> DataFrame:
+    """The same from stored postings: each text has one that begins it."""
+    return stored.where(F.col("positions")[0] == 0).select("id", "field", "dl")
+
+
 def statistics_of(lengths_of: DataFrame) -> DataFrame:
     return lengths_of.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 

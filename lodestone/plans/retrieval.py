@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.vector import int8, norm, normalized
 from lodestone.operators import fts, fusion, graph, vectors
 from lodestone.plans.registry import query
-from lodestone.session import cut, shared_folder
+from lodestone.session import shared_folder
 from lodestone.sources import tables
 
 TERMS = ("the", "elle")
@@ -102,11 +102,11 @@ def fts_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {INDEXED}{TERM_QUERIES}{BM25} {top_sql(K)}")
 def fts_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over stored postings: the index is written, then only its terms' rows are read."""
-    indexed, folder = cut(_indexed(spark, sf_dir)), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    fts.stored_postings(indexed).write.parquet(f"{folder}/postings")
-    fts.lengths(indexed).write.parquet(f"{folder}/lengths")
-    found = spark.read.parquet(f"{folder}/postings").where(fts.term_filter(list(TERMS))).select("id", "field", "term", "dl", "tf")
-    return fts.top(fts.bm25_of(found, fts.statistics_of(spark.read.parquet(f"{folder}/lengths")), _terms(spark, *TERMS)), K)
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    fts.stored_postings(_indexed(spark, sf_dir)).write.parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    fts.stored_lengths(stored).write.parquet(f"{folder}/lengths")
+    return fts.top(fts.bm25_of(fts.of_terms(stored, list(TERMS)), fts.statistics_of(spark.read.parquet(f"{folder}/lengths")), _terms(spark, *TERMS)), K)
 
 
 @query(f"WITH {INDEXED} SELECT field, count(*)::BIGINT AS n, round(avg(len(tokens)), 6) AS avgdl FROM indexed GROUP BY field")

@@ -149,6 +149,36 @@ def test_search_terms(spark):
     assert ids(fts.phrase(indexed, ("theory", "of"))) == ["1"] and ids(fts.phrase(indexed, ("of", "theory"))) == []
 
 
+def test_stored_postings_are_made_where_texts_lie(spark, sf_dir):
+    from lodestone.plans import retrieval
+
+    odd = [("1", "The cat, the CAT \u00e9t\u00e9 the", ["x:the"]), ("2", "\U0001f600", []), ("3", None, ["a"]), ("4", "w " * 300 + "b", [])]
+    docs = spark.createDataFrame(odd, "id string, body string, tags array<string>")
+    for indexed in (fts.field_tokens(docs, fts.body_and_tags()), retrieval._indexed(spark, sf_dir)):
+        stored = fts.stored_postings(indexed)
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("sort_array") == 1
+        # A list carried along with each of its terms takes time by the square of a text's length.
+        assert not any("tokens#" in line for line in plan.splitlines() if "Generate inline(terms" in line)
+        each = lambda df: sorted(map(tuple, df.select("id", "field", "term", "dl", "tf", "positions").collect()))
+        assert each(stored) == each(fts.postings(indexed))
+        assert sorted(fts.stored_lengths(stored).collect()) == sorted(fts.lengths(indexed).collect())
+        for part in stored.select("term").rdd.map(lambda r: r.term.encode()).glom().collect():
+            assert part == sorted(part)
+
+
+def test_stored_postings_of_repeated_ids_are_put_together(spark, tmp_path):
+    rows = [("1", "the cat", []), ("1", "the the", []), ("1", "the longer cat", []), ("2", "the cat", ["the"]), (None, "cat the", []), (None, "the cat", [])]
+    indexed = fts.field_tokens(spark.createDataFrame(rows, "id string, body string, tags array<string>"), fts.body_and_tags())
+    fts.stored_postings(indexed).write.parquet(f"{tmp_path}/postings")
+    stored = spark.read.parquet(f"{tmp_path}/postings")
+    asked = spark.createDataFrame([(0, "the"), (0, "cat")], "qid long, term string")
+    each = lambda df: sorted(df.select("id", "field", "term", "dl", "tf").collect(), key=str)
+    assert each(fts.of_terms(stored, ["the", "cat"])) == each(fts.matching(indexed, asked))
+    scores = lambda df: sorted(((r.id or "", round(r.score, 9)) for r in df.collect()))
+    assert scores(fts.bm25_of(fts.of_terms(stored, ["the", "cat"]), fts.statistics_of(fts.stored_lengths(stored)), asked)) == scores(fts.bm25(indexed, asked))
+
+
 def test_rank_fusion(spark):
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "qid string, id string, rank int")
     b = spark.createDataFrame([("q", "y", 1)], "qid string, id string, rank int")
